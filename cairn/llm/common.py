@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairn.functions.ship import ship
+
 #: Ids up to this many are broadcast (8 bytes each, so 16 MB at most before hashing); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -27,6 +29,7 @@ class Held:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.top = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        ship(spark)
 
     def put(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.made += 1
@@ -47,7 +50,7 @@ class Held:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a plan's size in bytes, without a job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def by_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:

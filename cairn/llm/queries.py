@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding, urlfilter
+from . import decontam, htmltext, jaccard, langid, license, mixing, quality, sharding, urlfilter, vecdedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,34 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_license_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_host_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(_table(spark, sf_dir, "pages"))
+
+
+def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_sorted_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdedup.dedup(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op9_partition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), sharding.tree(8), sharding.tree(9))
 
@@ -27,6 +55,13 @@ def op10_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_cascade": op1_url_cascade,
     "op2_source_mix": op2_source_mix,
+    "op3_pairwise_quality": op3_pairwise_quality,
+    "op4_license_align": op4_license_align,
+    "op5_host_consensus": op5_host_consensus,
+    "op6_spaced_seeds": op6_spaced_seeds,
+    "op7_sorted_passes": op7_sorted_passes,
+    "op8_ppm_language": op8_ppm_language,
+    "op9_partition_join": op9_partition_join,
     "op10_hash_tree": op10_hash_tree,
 }
 
