@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Held, bins_for, running
+from .common import BROADCAST_IDS, Held, bins_for, by_ids, running
 
 #: Default domains by source; sources not named here are 'other'.
 DOMAINS = {"src0": "bulk", **{f"src{i}": "web" for i in range(1, 10)}, **{f"src{i}": "books" for i in range(10, 15)}}
@@ -102,3 +102,19 @@ def mix(docs: DataFrame, domains: Mapping[str, str] = DOMAINS, weights: Mapping[
     rows = running(rows, leaf, ["_h", "doc_id", "n_tokens"], bins_for(rows.count()), "n_tokens")
     partial = F.when((F.col("_rest") > 0) & (F.col("_before") + F.col("n_tokens") <= F.col("_rest")), 1).otherwise(0)
     return rows.select("doc_id", *leaf, "n_tokens", "epochs", partial.cast("long").alias("partial"), (F.col("epochs") + partial).alias("copies"))
+
+
+def take(docs: DataFrame, **mix_options) -> DataFrame:
+    """The mix's documents with all their columns, as often as it takes them (mix's parameters).
+
+    With one epoch at most, the chosen ids are broadcast if they are few and no text is shuffled; with more, documents are
+    joined to their number of copies and repeated. Rows that share a doc_id are taken together, as often as the most taken.
+    """
+    held = Held(docs.sparkSession, "take")
+    picks = mix(docs, **mix_options).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
+    picks = held.put(picks, "picks")
+    if mix_options.get("most_epochs", 4) == 1:
+        return by_ids(docs, picks, "left_semi")
+    picks = picks.withColumnRenamed("doc_id", "_taken")
+    out = docs.join(picks, docs["doc_id"].eqNullSafe(F.col("_taken")))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_taken", "_copies", "_copy")
