@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import zipfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource
 
 _TOP = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -25,3 +28,9 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(_TOP)))
     context.addPyFile(path)
     context._cairn_shipped = True
+
+
+def register(spark: SparkSession, source: type[DataSource]) -> None:
+    """Registers a data source with its code pickled by value: Spark plans it in a worker that sees no added files."""
+    cloudpickle.register_pickle_by_value(sys.modules[source.__module__])
+    spark.dataSource.register(source)

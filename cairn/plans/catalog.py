@@ -438,9 +438,10 @@ def _(spark, sf):
 
 
 @query("tobler_time", f"""WITH {pj.PROFILES}, d AS (SELECT track_id, lead(dist_m) OVER w - dist_m AS dx, CAST(lead(elev_m) OVER w - elev_m AS DOUBLE) AS dz FROM profiles WINDOW w AS (PARTITION BY track_id ORDER BY i))
-SELECT track_id, round(coalesce(sum(CASE WHEN dx > 0 THEN dx / 1000.0 / (6.0 * exp(-3.5 * abs(coalesce(dz / dx, 0) + 0.05)) * 5.0 / {walk.TOBLER_FLAT_KMH}) END), 0), 6) AS base_time_h FROM d GROUP BY track_id""")
+SELECT track_id, round(log10(1 + coalesce(sum(CASE WHEN dx > 0 THEN dx / 1000.0 / (6.0 * exp(-3.5 * abs(coalesce(dz / dx, 0) + 0.05)) * 5.0 / {walk.TOBLER_FLAT_KMH}) END), 0)), 6) AS log_time FROM d GROUP BY track_id""")
 def _(spark, sf):
-    return track.stats(pj.profiles(spark, sf), ["track_id"], walk.WalkSettings(model="tobler")).select("track_id", r("base_time_h", 6).alias("base_time_h"))
+    """As a logarithm: the events' heights make slopes on which times reach 10**12 hours."""
+    return track.stats(pj.profiles(spark, sf), ["track_id"], walk.WalkSettings(model="tobler")).select("track_id", r(F.log10(1 + F.col("base_time_h")), 6).alias("log_time"))
 
 
 SUPPLY = f"""{LEG_STATS}, {pj.RESUPPLY},
