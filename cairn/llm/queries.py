@@ -140,7 +140,49 @@ mixed AS (
 
 OP2_SQL = f"WITH {mix_sql('documents')}\nSELECT *, epochs + partial AS copies FROM mixed"
 
+_tokens = lambda t: f"list_filter(regexp_split_to_array(lower(coalesce({t}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+_seeds = lambda rel, cols: " UNION ALL ".join(
+    f"SELECT {cols}, p, {i} AS mask, concat_ws('|', {', '.join(f't[p + {o + 1}]' for o in m)}) AS seed FROM (SELECT *, unnest(range(len(t) - {m[-1]})) AS p FROM {rel})" for i, m in enumerate(decontam.MASKS)
+)
+
+#: For items longer than every mask; shorter ones take another mask in the operator.
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, {_tokens("text")} AS t FROM documents), b AS (SELECT item_id, {_tokens("text")} AS t FROM benchmark),
+ds AS ({_seeds("d", "doc_id")}), bs AS ({_seeds("b", "item_id")}),
+hits AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS off FROM ds JOIN bs USING (mask, seed)),
+laid AS (
+  SELECT doc_id, item_id, off, len(b.t) AS n, least(12, len(b.t)) AS w, list_transform(range(len(b.t)), lambda i: CASE WHEN i + off >= 0 AND d.t[i + off + 1] = b.t[i + 1] THEN 1 ELSE 0 END) AS same
+  FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),
+runs AS (SELECT *, list_sum(same) AS matched, list_max(list_transform(range(n - w + 1), lambda s: list_sum(same[s + 1 : s + w]))) AS best FROM laid),
+top AS (SELECT doc_id, item_id, n, max({{matched: matched, best: best, off: -off}}) AS m FROM runs WHERE best >= greatest(ceil(w * 0.75), least(6, n)) GROUP BY ALL)
+SELECT doc_id, item_id, CAST(m.matched AS INTEGER) AS matched, CAST(n AS INTEGER) AS item_words, CAST(m.best AS INTEGER) AS best, CAST(-m.off AS INTEGER) AS at FROM top
+"""
+
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CASE WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN CAST(embedding AS DOUBLE[]) END AS e FROM embeddings),
+links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(vec_id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(any_value(n), 0) AS n_links, min(c) AS component_id, min(c) = vec_id AS kept FROM reach LEFT JOIN n USING (vec_id) GROUP BY vec_id
+"""
+
+OP9_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{urlfilter.UPPER}', '{urlfilter.LOWER}'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+u AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM both_ WHERE 100 * c >= 75 * (na + nb - c)),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.doc_id)
+SELECT doc_id, CAST(len(any_value(s)) AS BIGINT) AS n_shingles, min(c) AS component_id FROM reach JOIN s USING (doc_id) GROUP BY doc_id
+"""
+
 ORACLE = {
     "op1_url_cascade": OP1_SQL,
     "op2_source_mix": OP2_SQL,
+    "op6_spaced_seeds": OP6_SQL,
+    "op7_sorted_passes": OP7_SQL,
+    "op9_partition_join": OP9_SQL,
 }
