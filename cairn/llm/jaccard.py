@@ -7,16 +7,20 @@ the smaller set's band, so every set signs in its own band and, where it can hav
 A band deals all hashes into m narrow and w wide segments (a wide one is twice as likely). H differing elements cannot touch
 all segments: a narrow segment is ruled out by one difference, a wide one, whose one-deletion neighbourhood is signed too, by
 two. A set signs
-* each wide segment of two or more elements, and of three or more also every subset with one element left out. A wide
-  segment of three or more elements thus counts two points, of two elements one, else none: P points in all;
-* its first H + 1 - P narrow segments in an order that depends on their content alone: larger subsets first, then by hash.
-  Equal segments have equal places in that order, so the first equal narrow segment of a pair is among these of both sets.
-Hence a pair that links shares a signature. How many segments a band has, and how many of them wide, is chosen by an
-estimate of costs: signatures cost one each, and more where subsets are small, as those are shared by unrelated sets.
+* of each wide segment, the subset in it and, of three or more elements, each subset with one left out, where these have
+  two elements or more and one that is rare in the corpus. A wide segment with three elements and two rare ones counts two
+  points, another one that is signed whole one, else none: P points in all;
+* its first H + 1 - P narrow segments in an order that depends on their content alone: those with a rare element first, then
+  larger subsets, then by hash. Equal segments have equal places in that order, so the first equal narrow segment of a pair
+  is among these of both sets.
+Hence a pair that links shares a signature, whatever is called rare. Costs allocate: frequent elements (a common line or
+passage) come from a sketch of document frequencies over the whole corpus, and how many segments a band has, and how many of
+them wide, is chosen by an estimate in which small subsets cost more, as unrelated sets share them.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from math import exp
@@ -30,6 +34,7 @@ from .common import Held, by_ids, components, input_bytes
 
 U = np.uint64
 SHINGLE = 5
+SKETCH_BITS = 20
 STEP = 0x9E3779B97F4A7C15  # odd; powers of it place bytes in a word's hash
 _MASK = (1 << 64) - 1
 
@@ -162,17 +167,26 @@ def geometry(band: int) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def sign(s: np.ndarray, band: int, differ: int) -> np.ndarray:
-    """A set's signatures in the partition of a band, for partners that differ in at most `differ` elements."""
+def slots(s: np.ndarray) -> np.ndarray:
+    """Each hash's counter in the sketch of document frequencies."""
+    return (mix(s, 15) >> U(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def sign(s: np.ndarray, light: np.ndarray, band: int, differ: int) -> np.ndarray:
+    """A set's signatures in the partition of a band, for partners that differ in at most `differ` elements.
+
+    light marks the elements that are not frequent in the corpus.
+    """
     narrow, wide = geometry(band)
     slot = (mix(s, 9) % U(narrow + 2 * wide)).astype(np.int64)
     segment = np.where(slot < narrow, slot, narrow + (slot - narrow) // 2) if wide else slot
     order = np.argsort(segment, kind="stable")
-    segment, value = segment[order], mix(s, 10)[order]
+    segment, value, light = segment[order], mix(s, 10)[order], light[order].astype(np.int64)
     starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
     count = np.diff(np.append(starts, len(s)))
     ids = segment[starts]
     content = np.add.reduceat(value, starts)
+    rare = np.add.reduceat(light, starts)
     own = U(band * 0xA24BAED4963EE407 & _MASK)
     place = mix(own + ids.astype(np.uint64), 11)
     key = mix(content ^ place, 12)
@@ -180,15 +194,15 @@ def sign(s: np.ndarray, band: int, differ: int) -> np.ndarray:
     points = 0
     if wide:
         far = ids >= narrow
-        out.append(key[far & (count >= 2)])
+        out.append(key[far & (count >= 2) & (rare >= 1)])
         many = far & (count >= 3)
-        points = 2 * int(many.sum()) + int((far & (count == 2)).sum())
-        inside = np.repeat(many, count)
+        points = 2 * int((many & (rare >= 2)).sum()) + int((far & (rare >= 1) & ((count == 2) | (many & (rare == 1)))).sum())
+        inside = np.repeat(many, count) & (np.repeat(rare, count) - light >= 1)
         out.append(mix((np.repeat(content, count)[inside] - value[inside]) ^ np.repeat(place, count)[inside], 12))
-        key, count, ids = key[~far], count[~far], ids[~far]
+        key, count, rare, ids = key[~far], count[~far], rare[~far], ids[~far]
     need = differ + 1 - points
     if need > 0:
-        first = np.lexsort((key, -count))[:need]
+        first = np.lexsort((key, -count, rare == 0))[:need]
         out.append(key[first])
         if need > len(key):
             empty = np.setdiff1d(np.arange(narrow), ids)
@@ -197,28 +211,58 @@ def sign(s: np.ndarray, band: int, differ: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
-    """All signatures of a set, for its own band and the band below."""
+def signatures(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """All signatures of a set, for its own band and the band below; heavy marks the sketch's frequent counters."""
     n = len(s)
+    light = ~heavy[slots(s)]
     band = int(np.searchsorted(_bands(), n, side="right")) - 1
-    out = [sign(s, band, (n + 4 * n // 3) // 7)]
+    out = [sign(s, light, band, (n + 4 * n // 3) // 7)]
     below = int(_bands()[band]) - 1
     if band and 4 * below >= 3 * n:
-        out.append(sign(s, band - 1, (n + below) // 7))
+        out.append(sign(s, light, band - 1, (n + below) // 7))
     return np.concatenate(out)
 
 
 def _described(key: str):
+    """(key, n, h, g) of each text, and at the end of a partition its counters of document frequencies, in packed blocks."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        seen: set[int] = set()
         for pdf in batches:
-            got = [(len(s), *identity(s)) for s in shingle_sets(list(pdf["text"]))]
+            got = []
+            for s in shingle_sets(list(pdf["text"])):
+                got.append((len(s), *identity(s)))
+                if len(s) and got[-1][1] not in seen:
+                    seen.add(got[-1][1])
+                    np.add.at(counts, slots(s), 1)
             n, h, g = np.array(got, np.int64).reshape(-1, 3).T
-            yield pd.DataFrame({key: pdf[key], "n": n, "h": h, "g": g})
+            yield pd.DataFrame({key: pdf[key], "n": n, "h": h, "g": g, "block": -1, "counts": None})
+        if counts.any():
+            blocks = [zlib.compress(x.tobytes(), 1) for x in counts.reshape(-1, 1 << 12)]
+            yield pd.DataFrame({key: pd.Series([None] * len(blocks), dtype=object), "n": 0, "h": 0, "g": 0, "block": range(len(blocks)), "counts": blocks})
 
     return run
 
 
-def _packed(bits: int, most: int = 3_000_000):
+def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64) for x in pdf["counts"])
+    return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "total": [int(total.sum())], "counts": [total.tobytes()]})
+
+
+def frequent(counters: DataFrame) -> np.ndarray:
+    """The sketch's counters that stand out: over 50 and three times the mean. A fixed number of bits, whatever the corpus.
+
+    The sketch only ranks segments by their cost, so its collisions cost time, not links.
+    """
+    rows = counters.groupBy("block").applyInPandas(_summed, "block int, total long, counts binary").collect()
+    counts = np.zeros((1 << SKETCH_BITS - 12, 1 << 12), np.int64)
+    for row in rows:
+        counts[row["block"]] = np.frombuffer(bytes(row["counts"]), np.int64)
+    return (counts > max(50.0, 3 * counts.mean())).reshape(-1)
+
+
+def _packed(bits: int, heavy, most: int = 3_000_000):
     """Texts -> a blob for each part of the signatures' space: set ids, sizes, numbers of signatures and their low 32 bits.
 
     The part is a signature's high bits; parts grow in number with the input, so equal low bits within one are rarely
@@ -242,6 +286,7 @@ def _packed(bits: int, most: int = 3_000_000):
                     rows.append((p, np.array(ids, np.int64)[d].tobytes(), np.array(sizes, np.int32)[d].tobytes(), k.astype(np.int32).tobytes(), sig[lo:hi].tobytes()))
             return pd.DataFrame(rows, columns=["part", "ids", "sizes", "counts", "sigs"])
 
+        frequent_ = np.unpackbits(np.frombuffer(heavy.value, np.uint8)).astype(bool)
         seen: set[int] = set()
         sigs, ids, sizes, total = [], [], [], 0
         for pdf in batches:
@@ -249,7 +294,7 @@ def _packed(bits: int, most: int = 3_000_000):
                 if not len(s) or (h := identity(s)[0]) in seen:
                     continue  # a copy in the same batch of texts signs once
                 seen.add(h)
-                sigs.append(np.unique(signatures(s)))
+                sigs.append(np.unique(signatures(s, frequent_)))
                 ids.append(h)
                 sizes.append(len(s))
                 total += len(sigs[-1])
@@ -312,49 +357,78 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[ok, ["a", "b"]]
 
 
-class _Search:
-    """Verified links between sets that meet in runs, so that linked sets end in one component."""
-
-    def __init__(self, runs: DataFrame, sets: DataFrame, held: Held):
-        self.runs, self.sets, self.held = runs, sets, held
-        self.tested = self.edges = self.comps = None
-
-    def test(self, pairs: DataFrame) -> None:
-        """pairs (a, b) not tested before are verified on the whole sets; components follow."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = self.held.put(pairs, "pairs")
-        self.tested = pairs if self.tested is None else self.held.put(self.tested.unionByName(pairs), "tested")
-        one = self.sets.select(F.col("h").alias("a"), F.col("u").alias("ua"))
-        two = self.sets.select(F.col("h").alias("b"), F.col("u").alias("ub"))
-        found = pairs.join(one, "a").join(two, "b").select("a", "b", "ua", "ub").mapInPandas(_verified, "a long, b long")
-        if self.edges is not None:
-            found = found.unionByName(self.edges)
-        self.edges = self.held.put(found, "edges")
-        self.comps = self.held.put(components(self.edges, self.held), "components")
-
-    def members(self) -> DataFrame:
-        """(run, h, comp) of the runs whose sets are not all in one component yet."""
-        rows = self.runs.join(self.comps, F.col("h") == F.col("node"), "left").select("run", "h", F.coalesce("comp", "h").alias("comp"))
-        split = rows.groupBy("run").agg((F.min("comp") != F.max("comp")).alias("open")).filter("open").select("run")
-        return rows.join(split, "run", "left_semi")
-
-    def run(self, rounds: int) -> DataFrame:
-        first = self.runs.groupBy("run").agg(F.min("h").alias("a"))
-        self.test(self.runs.join(first, "run").select("a", F.col("h").alias("b")))
-        for turn in range(rounds):
-            rows = self.held.put(self.members(), "open")
-            sizes = rows.groupBy("run", "comp").agg(F.count(F.lit(1)).alias("n"), F.min_by("h", F.xxhash64("h", "run", F.lit(turn))).alias("a"))
-            hub = sizes.groupBy("run").agg(F.max(F.struct("n", "comp", "a")).alias("m")).select("run", F.col("m.comp").alias("hub"), F.col("m.a").alias("a"))
-            self.test(rows.join(hub, "run").filter("comp <> hub").select("a", F.col("h").alias("b")))
-        rows = self.held.put(self.members(), "open")
-        other = rows.select("run", F.col("h").alias("b"), F.col("comp").alias("comp_b"))
-        self.test(rows.withColumnRenamed("h", "a").join(other, "run").filter("comp < comp_b").select("a", "b"))
-        return self.comps
-
-
-def near_duplicates(docs: DataFrame, rounds: int = 2, held: Held | None = None) -> DataFrame:
+def _compared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links between the sets of a block of a clump that are not in one component yet, thinned to a spanning forest.
+
+    Intersections are counted over an inverted index of the block, so a set costs the places of its elements and no pair is
+    written down. With two cuts in the block, only pairs across them are compared.
+    """
+    pdf = pdf.sort_values(["side", "h"], kind="stable")
+    h, comp, side = pdf["h"].to_numpy(np.int64), pdf["comp"].to_numpy(np.int64), pdf["side"].to_numpy()
+    sets = [np.frombuffer(u, np.uint64) for u in pdf["u"]]
+    size = np.array([len(u) for u in sets])
+    across = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+    rows = np.flatnonzero(side == 0) if across else np.arange(len(sets))
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(element, kind="stable")
+    owners = owner[order]
+    start = np.searchsorted(element[order], np.arange(element.max() + 2))
+    begin = np.concatenate([[0], np.cumsum(size)])
+    _, up = np.unique(comp, return_inverse=True)
+    up = up.tolist()
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    roots = np.array(up)
+    up = list(range(max(up) + 1))
+    out = []
+    for i in rows:
+        e = element[begin[i] : begin[i + 1]]
+        n = start[e + 1] - start[e]
+        at = np.repeat(start[e] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(owners[at], minlength=len(sets))
+        link = 100 * both >= 75 * (size[i] + size - both)
+        link &= (side == 1) if across else (np.arange(len(sets)) > i)
+        for j in np.flatnonzero(link & (roots != roots[i])):
+            x, y = find(roots[i]), find(roots[j])
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((h[i], h[j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+
+def _search(runs: DataFrame, sets: DataFrame, held: Held, block: int = 1500) -> DataFrame:
+    """(node, comp) of the linked sets among those that meet in runs.
+
+    First each run's sets are compared with its smallest. Runs whose sets are then not all in one component are joined into
+    clumps where they share sets; all pairs of a clump's sets that are in different components are compared, in blocks of
+    two times `block` sets at most, so every pair of a run has been compared or lies in one component.
+    """
+    first = runs.groupBy("run").agg(F.min("h").alias("a"))
+    pairs = held.put(runs.join(first, "run").filter("a <> h").select("a", F.col("h").alias("b")).distinct(), "pairs")
+    one, two = sets.select(F.col("h").alias("a"), F.col("u").alias("ua")), sets.select(F.col("h").alias("b"), F.col("u").alias("ub"))
+    edges = held.put(pairs.join(one, "a").join(two, "b").select("a", "b", "ua", "ub").mapInPandas(_verified, "a long, b long"), "edges")
+    comps = held.put(components(edges, held), "components")
+    rows = runs.join(comps, F.col("h") == F.col("node"), "left").select("run", "h", F.coalesce("comp", "h").alias("comp"))
+    split = rows.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("h").alias("a")).filter("lo <> hi").select("run", "a")
+    star = runs.join(split, "run").filter("a <> h").select("a", F.col("h").alias("b")).distinct()
+    clumps = held.put(components(star, held), "clumps").withColumnsRenamed({"node": "h", "comp": "clump"})
+    cuts = clumps.groupBy("clump").agg(F.expr(f"(count(1) + {block - 1}) div {block}").cast("int").alias("cuts"))
+    at = sets.join(clumps, "h").join(cuts, "clump").join(comps, F.col("h") == F.col("node"), "left")
+    at = at.select("clump", "h", "u", "cuts", F.coalesce("comp", "h").alias("comp"), F.pmod(F.xxhash64("h"), F.col("cuts")).cast("int").alias("cut"))
+    at = at.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    at = at.select("clump", "h", "u", "comp", F.least("cut", "t").alias("i"), F.greatest("cut", "t").alias("j"), (F.col("cut") > F.col("t")).cast("int").alias("side"))
+    more = at.groupBy("clump", "i", "j").applyInPandas(_compared, "a long, b long")
+    edges = held.put(edges.unionByName(more), "edges")
+    return held.put(components(edges, held), "components")
+
+
+def near_duplicates(docs: DataFrame, held: Held | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id: one row a document; linked documents and their chains share the smallest doc_id.
 
     A document's set has its distinct shingles of five words (A-Z lower-cased, words between ASCII white space); with fewer
@@ -362,10 +436,9 @@ def near_duplicates(docs: DataFrame, rounds: int = 2, held: Held | None = None)
     100 * intersection >= 75 * union; sets are compared by 64-bit shingle hashes.
 
     Equal sets are one class, found by a 64-bit hash of the set, so copies cost nothing but their row. Sets that share a
-    signature form a run. A run's pairs are not all emitted: first its sets are compared with one of them, then, in
-    `rounds` rounds, those outside its largest component with a member of that one. What is still apart then is compared
-    pair by pair, across components only. So every run ends with each pair of its sets compared or in one component, and
-    components are exact, while a group of near copies costs a few comparisons a member. Rows of a null doc_id link with
+    signature form a run. No run's pairs are written down: its sets are compared with one of them, then those that are still
+    in several components are compared in memory, block by block. Components are exact, and n links in a dense group of near
+    copies cost no rows. Rows of a null doc_id link with
     nothing and have a null component; repeated rows are copies; empty tables give empty results; other columns are ignored.
     Only the texts of sets that met others are read again; texts are never shuffled.
     """
@@ -373,14 +446,16 @@ def near_duplicates(docs: DataFrame, rounds: int = 2, held: Held | None = None)
     kind = docs.schema["doc_id"].dataType.simpleString()
     bits = max(4, min(14, (input_bytes(docs) >> 24).bit_length()))
     docs = docs.select("doc_id", "text")
-    described = held.put(docs.mapInPandas(_described("doc_id"), f"doc_id {kind}, n long, h long, g long"), "described")
-    blobs = docs.filter("doc_id is not null").mapInPandas(_packed(bits), "part int, ids binary, sizes binary, counts binary, sigs binary")
+    both = held.put(docs.mapInPandas(_described("doc_id"), f"doc_id {kind}, n long, h long, g long, block int, counts binary"), "described")
+    described = both.filter("block < 0").select("doc_id", "n", "h", "g")
+    heavy = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent(both.filter("block >= 0").select("block", "counts"))).tobytes())
+    blobs = docs.filter("doc_id is not null").mapInPandas(_packed(bits, heavy), "part int, ids binary, sizes binary, counts binary, sigs binary")
     runs = held.put(blobs.repartition(1 << bits, "part").groupBy("part").applyInPandas(_met, "run long, h long").distinct(), "runs")
     known = described.filter("n > 0 and doc_id is not null")
     names = known.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
     asked = held.put(names.join(runs.select("h").distinct(), "h", "left_semi").select("doc_id").distinct(), "asked")
     sets = by_ids(docs, asked, "left_semi").select("text").mapInPandas(_sets, "h long, u binary")
-    comps = _Search(runs, held.put(sets, "sets"), held).run(rounds)
+    comps = _search(runs, held.put(sets, "sets"), held)
     named = known.join(comps, F.col("h") == F.col("node"), "left").select("doc_id", "n", F.coalesce("comp", "h").alias("c"))
     least = named.groupBy("c").agg(F.min("doc_id").alias("low"))
     out = named.join(least, "c").select("doc_id", F.col("n").alias("n_shingles"), F.col("low").alias("component_id"))
