@@ -105,15 +105,16 @@ def components(edges: DataFrame, held: Held, most_rounds: int = 60) -> DataFrame
     costs its edges once a round and chains shrink by a factor a round. Every round is written to the shared folder.
     """
     now = held.put(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    files = now.count() // 200_000 + 1  # a round has no more edges than that; without this, every small round writes a file a partition
     mark = None
     for _ in range(most_rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.join(low, F.col("u") == F.col("k")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = held.put(large, "large")
+        large = held.put(large.coalesce(files), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
-        small = held.put(small, "small")
+        small = held.put(small.coalesce(files), "small")
         held.drop(large)
         held.drop(now)
         now = small
