@@ -308,9 +308,9 @@ def _packed(bits: int, heavy, most: int = 3_000_000):
 
 
 def _met(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The sets that share a signature in a part: (run, h), a row for each set in a run of two or more sets.
+    """(a, b): the sets that share a signature in a part, as a star: each set of a run with the run's smallest, once a part.
 
-    Runs of the same sets are one. A run's number is a hash of its sets. Runs of two whose sizes rule them out are left out.
+    Runs of two whose sizes rule them out are left out.
     """
     ids = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]])
     sizes = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["sizes"]])
@@ -328,21 +328,14 @@ def _met(pdf: pd.DataFrame) -> pd.DataFrame:
     starts = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]])) if len(sigs) else np.zeros(0, np.int64)
     length = np.diff(np.append(starts, len(sigs)))
     starts, length = starts[length > 1], length[length > 1]
-    if not len(starts):
-        return pd.DataFrame({"run": np.zeros(0, np.int64), "h": np.zeros(0, np.int64)})
     two = length == 2
-    a, b = size[node[starts]].astype(np.int64), size[node[starts + 1]].astype(np.int64)
-    ok = ~two | (4 * np.minimum(a, b) >= 3 * np.maximum(a, b))
-    starts, length = starts[ok], length[ok]
-    at = np.repeat(starts - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-    member = node[at]
-    if not len(member):
-        return pd.DataFrame({"run": np.zeros(0, np.int64), "h": np.zeros(0, np.int64)})
-    value = mix(names.view(np.uint64), 13)[member]
-    run = mix(np.add.reduceat(value, np.concatenate([[0], np.cumsum(length)[:-1]])) + length.astype(np.uint64), 14)
-    _, one = np.unique(run, return_index=True)
-    chosen = np.repeat(np.isin(np.arange(len(run)), one), length)
-    return pd.DataFrame({"run": np.repeat(run, length)[chosen].view(np.int64), "h": names[member[chosen]]})
+    one, other = size[node[starts[two]]].astype(np.int64), size[node[starts[two] + 1]].astype(np.int64)
+    fits = np.ones(len(starts), bool)
+    fits[two] = 4 * np.minimum(one, other) >= 3 * np.maximum(one, other)
+    starts, length = starts[fits], length[fits] - 1
+    at = np.repeat(starts + 1 - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+    pairs = np.unique(np.repeat(node[starts], length) * len(names) + node[at])
+    return pd.DataFrame({"a": names[pairs // len(names)], "b": names[pairs % len(names)]})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -351,80 +344,51 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"h": [identity(s)[0] for s in got], "u": [s.tobytes() for s in got]})
 
 
-def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        ok = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(pdf["ua"], pdf["ub"], strict=True)]
-        yield pdf.loc[ok, ["a", "b"]]
-
-
 def _compared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links between the sets of a block of a clump that are not in one component yet, thinned to a spanning forest.
+    """Links between the sets of a block of a clump, thinned to a spanning forest of the block.
 
     Intersections are counted over an inverted index of the block, so a set costs the places of its elements and no pair is
     written down. With two cuts in the block, only pairs across them are compared.
     """
     pdf = pdf.sort_values(["side", "h"], kind="stable")
-    h, comp, side = pdf["h"].to_numpy(np.int64), pdf["comp"].to_numpy(np.int64), pdf["side"].to_numpy()
+    h, side = pdf["h"].to_numpy(np.int64), pdf["side"].to_numpy()
     sets = [np.frombuffer(u, np.uint64) for u in pdf["u"]]
     size = np.array([len(u) for u in sets])
     across = pdf["i"].iloc[0] != pdf["j"].iloc[0]
-    rows = np.flatnonzero(side == 0) if across else np.arange(len(sets))
     _, element = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), size)
     order = np.argsort(element, kind="stable")
-    owners = owner[order]
+    owners = np.repeat(np.arange(len(sets)), size)[order]
     start = np.searchsorted(element[order], np.arange(element.max() + 2))
     begin = np.concatenate([[0], np.cumsum(size)])
-    _, up = np.unique(comp, return_inverse=True)
-    up = up.tolist()
-
-    def find(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    roots = np.array(up)
-    up = list(range(max(up) + 1))
+    label = np.arange(len(sets))
     out = []
-    for i in rows:
+    for i in np.flatnonzero(side == 0) if across else np.arange(len(sets)):
         e = element[begin[i] : begin[i + 1]]
         n = start[e + 1] - start[e]
         at = np.repeat(start[e] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         both = np.bincount(owners[at], minlength=len(sets))
         link = 100 * both >= 75 * (size[i] + size - both)
         link &= (side == 1) if across else (np.arange(len(sets)) > i)
-        for j in np.flatnonzero(link & (roots != roots[i])):
-            x, y = find(roots[i]), find(roots[j])
-            if x != y:
-                up[max(x, y)] = min(x, y)
+        for j in np.flatnonzero(link & (label != label[i])):
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
                 out.append((h[i], h[j]))
     return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
-def _search(runs: DataFrame, sets: DataFrame, held: Held, block: int = 1500) -> DataFrame:
-    """(node, comp) of the linked sets among those that meet in runs.
+def _search(stars: DataFrame, sets: DataFrame, held: Held, block: int = 1500) -> DataFrame:
+    """(node, comp) of the linked sets among those that share a signature.
 
-    First each run's sets are compared with its smallest. Runs whose sets are then not all in one component are joined into
-    clumps where they share sets; all pairs of a clump's sets that are in different components are compared, in blocks of
-    two times `block` sets at most, so every pair of a run has been compared or lies in one component.
+    Runs that share sets form a clump, so every pair that shares a signature lies in one. All pairs of a clump's sets are
+    compared, in blocks of two times `block` sets at most; a set is shuffled once for each block that it is in.
     """
-    first = runs.groupBy("run").agg(F.min("h").alias("a"))
-    pairs = held.put(runs.join(first, "run").filter("a <> h").select("a", F.col("h").alias("b")).distinct(), "pairs")
-    one, two = sets.select(F.col("h").alias("a"), F.col("u").alias("ua")), sets.select(F.col("h").alias("b"), F.col("u").alias("ub"))
-    edges = held.put(pairs.join(one, "a").join(two, "b").select("a", "b", "ua", "ub").mapInPandas(_verified, "a long, b long"), "edges")
-    comps = held.put(components(edges, held), "components")
-    rows = runs.join(comps, F.col("h") == F.col("node"), "left").select("run", "h", F.coalesce("comp", "h").alias("comp"))
-    split = rows.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("h").alias("a")).filter("lo <> hi").select("run", "a")
-    star = runs.join(split, "run").filter("a <> h").select("a", F.col("h").alias("b")).distinct()
-    clumps = held.put(components(star, held), "clumps").withColumnsRenamed({"node": "h", "comp": "clump"})
+    clumps = held.put(components(stars, held), "clumps").withColumnsRenamed({"node": "h", "comp": "clump"})
     cuts = clumps.groupBy("clump").agg(F.expr(f"(count(1) + {block - 1}) div {block}").cast("int").alias("cuts"))
-    at = sets.join(clumps, "h").join(cuts, "clump").join(comps, F.col("h") == F.col("node"), "left")
-    at = at.select("clump", "h", "u", "cuts", F.coalesce("comp", "h").alias("comp"), F.pmod(F.xxhash64("h"), F.col("cuts")).cast("int").alias("cut"))
+    at = sets.join(clumps, "h").join(cuts, "clump")
+    at = at.select("clump", "h", "u", "cuts", F.pmod(F.xxhash64("h"), F.col("cuts")).cast("int").alias("cut"))
     at = at.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    at = at.select("clump", "h", "u", "comp", F.least("cut", "t").alias("i"), F.greatest("cut", "t").alias("j"), (F.col("cut") > F.col("t")).cast("int").alias("side"))
-    more = at.groupBy("clump", "i", "j").applyInPandas(_compared, "a long, b long")
-    edges = held.put(edges.unionByName(more), "edges")
+    at = at.select("clump", "h", "u", F.least("cut", "t").alias("i"), F.greatest("cut", "t").alias("j"), (F.col("cut") > F.col("t")).cast("int").alias("side"))
+    edges = held.put(at.groupBy("clump", "i", "j").applyInPandas(_compared, "a long, b long"), "edges")
     return held.put(components(edges, held), "components")
 
 
@@ -436,9 +400,8 @@ def near_duplicates(docs: DataFrame, held: Held | None = None) -> DataFrame:
     100 * intersection >= 75 * union; sets are compared by 64-bit shingle hashes.
 
     Equal sets are one class, found by a 64-bit hash of the set, so copies cost nothing but their row. Sets that share a
-    signature form a run. No run's pairs are written down: its sets are compared with one of them, then those that are still
-    in several components are compared in memory, block by block. Components are exact, and n links in a dense group of near
-    copies cost no rows. Rows of a null doc_id link with
+    signature form a run, runs that share sets a clump. No pairs are written down: the sets of a clump are compared in
+    memory, block by block, so components are exact and links in a dense group of near copies cost no rows. Rows of a null doc_id link with
     nothing and have a null component; repeated rows are copies; empty tables give empty results; other columns are ignored.
     Only the texts of sets that met others are read again; texts are never shuffled.
     """
@@ -450,12 +413,12 @@ def near_duplicates(docs: DataFrame, held: Held | None = None) -> DataFrame:
     described = both.filter("block < 0").select("doc_id", "n", "h", "g")
     heavy = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent(both.filter("block >= 0").select("block", "counts"))).tobytes())
     blobs = docs.filter("doc_id is not null").mapInPandas(_packed(bits, heavy), "part int, ids binary, sizes binary, counts binary, sigs binary")
-    runs = held.put(blobs.repartition(1 << bits, "part").groupBy("part").applyInPandas(_met, "run long, h long").distinct(), "runs")
+    stars = held.put(blobs.repartition(1 << bits, "part").groupBy("part").applyInPandas(_met, "a long, b long").distinct(), "stars")
     known = described.filter("n > 0 and doc_id is not null")
     names = known.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
-    asked = held.put(names.join(runs.select("h").distinct(), "h", "left_semi").select("doc_id").distinct(), "asked")
+    asked = held.put(names.join(stars.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "h", "left_semi").select("doc_id").distinct(), "asked")
     sets = by_ids(docs, asked, "left_semi").select("text").mapInPandas(_sets, "h long, u binary")
-    comps = _search(runs, held.put(sets, "sets"), held)
+    comps = _search(stars, held.put(sets, "sets"), held)
     named = known.join(comps, F.col("h") == F.col("node"), "left").select("doc_id", "n", F.coalesce("comp", "h").alias("c"))
     least = named.groupBy("c").agg(F.min("doc_id").alias("low"))
     out = named.join(least, "c").select("doc_id", F.col("n").alias("n_shingles"), F.col("low").alias("component_id"))
