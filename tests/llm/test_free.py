@@ -256,7 +256,7 @@ def test_blocks_of_a_clump():
     sets += [np.unique(np.concatenate([s[:-1], [99]]).astype(np.uint64)) for s in sets[:30]]
     import pandas as pd
 
-    pdf = pd.DataFrame({"clump": 1, "h": np.arange(len(sets)), "u": [s.tobytes() for s in sets], "comp": np.arange(len(sets)), "i": 0, "j": 0, "side": 0})
+    pdf = pd.DataFrame({"clump": 1, "h": np.arange(len(sets)), "u": [s.tobytes() for s in sets], "i": 0, "j": 0, "side": 0})
     got = jaccard._compared(pdf)
     pairs = {(a, b) for a in range(len(sets)) for b in range(a) if jaccard.linked(sets[a], sets[b])}
     assert {(max(p), min(p)) for p in got.itertuples(index=False, name=None)} <= pairs
