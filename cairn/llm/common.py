@@ -30,6 +30,8 @@ class Held:
         self.spark, self.top = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
         ship(spark)
+        batch = "spark.sql.execution.arrow.maxRecordsPerBatch"  # texts are long: 2,000 of them are some 10 MB for a Python worker
+        spark.conf.set(batch, str(min(2000, int(spark.conf.get(batch, "10000")) or 2000)))
 
     def put(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.made += 1

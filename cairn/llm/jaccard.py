@@ -262,7 +262,7 @@ def frequent(counters: DataFrame) -> np.ndarray:
     return (counts > max(50.0, 3 * counts.mean())).reshape(-1)
 
 
-def _packed(bits: int, heavy, most: int = 3_000_000):
+def _packed(bits: int, heavy, most: int = 1_000_000):
     """Texts -> a blob for each part of the signatures' space: set ids, sizes, numbers of signatures and their low 32 bits.
 
     The part is a signature's high bits; parts grow in number with the input, so equal low bits within one are rarely
