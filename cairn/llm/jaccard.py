@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Held, by_ids, components, input_bytes
+from .common import BROADCAST_IDS, Held, by_ids, components, input_bytes
 
 U = np.uint64
 SHINGLE = 5
@@ -341,7 +341,7 @@ def _met(pdf: pd.DataFrame) -> pd.DataFrame:
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         got = list(shingle_sets(list(pdf["text"])))
-        yield pd.DataFrame({"h": [identity(s)[0] for s in got], "u": [s.tobytes() for s in got]})
+        yield pd.DataFrame({"clump": pdf["clump"], "cuts": pdf["cuts"], "h": [identity(s)[0] for s in got], "u": [s.tobytes() for s in got]})
 
 
 def _compared(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -376,17 +376,19 @@ def _compared(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
-def _search(stars: DataFrame, sets: DataFrame, held: Held, block: int = 1500) -> DataFrame:
-    """(node, comp) of the linked sets among those that share a signature.
+def _clumps(stars: DataFrame, held: Held, block: int = 1500) -> DataFrame:
+    """(h, clump, cuts) of the sets that share a signature: runs that share sets form a clump, so each such pair lies in one.
 
-    Runs that share sets form a clump, so every pair that shares a signature lies in one. All pairs of a clump's sets are
-    compared, in blocks of two times `block` sets at most; a set is shuffled once for each block that it is in.
+    A clump of more than `block` sets is cut, and compared in blocks of two cuts.
     """
     clumps = held.put(components(stars, held), "clumps").withColumnsRenamed({"node": "h", "comp": "clump"})
     cuts = clumps.groupBy("clump").agg(F.expr(f"(count(1) + {block - 1}) div {block}").cast("int").alias("cuts"))
-    at = sets.join(clumps, "h").join(cuts, "clump")
-    at = at.select("clump", "h", "u", "cuts", F.pmod(F.xxhash64("h"), F.col("cuts")).cast("int").alias("cut"))
-    at = at.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    return clumps.join(cuts, "clump")
+
+
+def _search(sets: DataFrame, held: Held) -> DataFrame:
+    """(node, comp) of the linked sets of (clump, cuts, h, u); a set is shuffled once for each block that it is in."""
+    at = sets.withColumn("cut", F.pmod(F.xxhash64("h"), F.col("cuts")).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     at = at.select("clump", "h", "u", F.least("cut", "t").alias("i"), F.greatest("cut", "t").alias("j"), (F.col("cut") > F.col("t")).cast("int").alias("side"))
     edges = held.put(at.groupBy("clump", "i", "j").applyInPandas(_compared, "a long, b long"), "edges")
     return held.put(components(edges, held), "components")
@@ -416,9 +418,12 @@ def near_duplicates(docs: DataFrame, held: Held | None = None) -> DataFrame:
     stars = held.put(blobs.repartition(1 << bits, "part").groupBy("part").applyInPandas(_met, "a long, b long").distinct(), "stars")
     known = described.filter("n > 0 and doc_id is not null")
     names = known.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
-    asked = held.put(names.join(stars.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "h", "left_semi").select("doc_id").distinct(), "asked")
-    sets = by_ids(docs, asked, "left_semi").select("text").mapInPandas(_sets, "h long, u binary")
-    comps = _search(stars, held.put(sets, "sets"), held)
+    asked = names.join(_clumps(stars, held), "h").select(F.col("doc_id").alias("_id"), "clump", "cuts").distinct()
+    asked = held.put(asked, "asked")
+    if asked.count() <= BROADCAST_IDS:
+        asked = F.broadcast(asked)
+    sets = docs.join(asked, F.col("doc_id") == F.col("_id")).select("text", "clump", "cuts").mapInPandas(_sets, "clump long, cuts int, h long, u binary")
+    comps = _search(sets, held)
     named = known.join(comps, F.col("h") == F.col("node"), "left").select("doc_id", "n", F.coalesce("comp", "h").alias("c"))
     least = named.groupBy("c").agg(F.min("doc_id").alias("low"))
     out = named.join(least, "c").select("doc_id", F.col("n").alias("n_shingles"), F.col("low").alias("component_id"))
