@@ -1,4 +1,4 @@
-"""Near-duplicate vectors by sorted projection passes."""
+"""Near-duplicate vectors by sorted projection passes, completed by comparing each label in blocks."""
 
 from __future__ import annotations
 
@@ -91,6 +91,28 @@ def _windowed(window: int, least: float):
     return run
 
 
+def _missed(least: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of components with a link between them in a block, thinned to a spanning forest of the block's components."""
+        u = unit(_matrix(pdf["v"], int(pdf["dim"].iloc[0])))
+        names, comp = np.unique(pdf["comp"].to_numpy(np.int64), return_inverse=True)
+        left = (pdf["side"] == 0).to_numpy()
+        across = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+        rows, cols = np.flatnonzero(left) if across else np.arange(len(u)), np.flatnonzero(~left) if across else np.arange(len(u))
+        right, found = u[cols].T, [np.zeros(0, np.int64)]
+        for lo in range(0, len(rows), 256):
+            start = 0 if across else lo
+            i, j = np.nonzero(u[rows[lo : lo + 256]] @ right[:, start:] >= least)
+            a, b = comp[rows[lo + i]], comp[cols[start + j]]
+            a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+            found.append(np.unique(a * len(names) + b))
+        pairs = np.unique(np.concatenate(found))
+        forest = _roots(len(names), np.stack([pairs // len(names), pairs % len(names)], 1))
+        return pd.DataFrame([(names[a], names[b]) for a, b in forest], columns=["a", "b"], dtype=np.int64)
+
+    return run
+
+
 def _counted(least: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         """Links of the rows of each component in a group: all against all, or side 0 against side 1 of a large one."""
@@ -128,15 +150,38 @@ def _blocks(keyed: DataFrame, held: Held, window: int, block: int) -> DataFrame:
     return rows.select("turn", "label", "dim", "rep", "v", "rank", F.explode(halo).alias("block"))
 
 
+def _united(same: DataFrame, comps: DataFrame, held: Held, least: float) -> DataFrame:
+    """(node, comp) of the passes, with the components united that any link of a label joins: all vectors of a label are compared.
+
+    A label is cut into at most 16 parts of 2,048 rows or more, beyond that into parts of 8 MB, and compared in blocks of two
+    parts; so a row is copied as often as its label has parts.
+    """
+    nodes = same.select("label", "dim", "rep", "v").join(comps, F.col("rep") == F.col("node"), "left").select("label", "dim", "rep", "v", F.coalesce("comp", "rep").alias("comp"))
+    sizes = same.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("size")).withColumnsRenamed({"label": "_label", "dim": "_dim"})
+    part = F.greatest(F.lit(2048), F.least(F.expr("(size + 15) div 16"), F.greatest(F.lit(1024), F.expr("1048576 div _dim"))))
+    sizes = sizes.select("_label", "_dim", F.ceil(F.col("size") / part).cast("int").alias("cuts"))
+    nodes = nodes.join(sizes, (F.col("label") == F.col("_label")) & (F.col("dim") == F.col("_dim"))).withColumn("cut", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))
+    nodes = nodes.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    nodes = nodes.select("label", "dim", "comp", "v", F.least("cut", "t").alias("i"), F.greatest("cut", "t").alias("j"), (F.col("cut") > F.col("t")).cast("int").alias("side"))
+    edges = held.put(nodes.groupBy("label", "dim", "i", "j").applyInPandas(_missed(least), "a long, b long"), "missed")
+    if edges.isEmpty():
+        return comps
+    more = components(edges, held).withColumnsRenamed({"node": "_old", "comp": "_new"})
+    alone = more.join(comps.select("node"), F.col("_old") == F.col("node"), "left_anti").select(F.col("_old").alias("node"), F.col("_new").alias("comp"))
+    moved = comps.join(more, F.col("comp") == F.col("_old"), "left").select("node", F.coalesce("_new", "comp").alias("comp"))
+    return held.put(moved.unionByName(alone), "united")
+
+
 def dedup(vectors: DataFrame, least: float = 0.98, turns: int = 12, window: int = 48, block: int = 2048, seed: int = 11) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row a vector.
 
     Vectors link when their labels are equal and not null, their lengths are equal, and their cosine in double precision is
     at least `least`. Exactly equal vectors of a label are merged first and counted. In each of `turns` passes the rest is
     ordered by 60 concatenated hyperplane hashes and every vector is compared with the next `window` in the order; verified
-    pairs of all passes are united. The window bounds only the search for components: inside a component all vectors are
-    then compared, in blocks, so n_links counts all links there, however dense it is; that costs the square of a
-    component's distinct vectors, spread over blocks, and emits counts, not pairs.
+    pairs of all passes are united. The window bounds only this first search: then all vectors of a label are compared, in
+    blocks, and components that a link joins are united, so none is lost at any size of a label; that costs the square of a
+    label's distinct vectors, spread over blocks. Inside a component all vectors are compared once more, so n_links counts
+    all links, however dense they are, and emits counts, not pairs.
 
     Null labels or ids, null, empty or zero vectors and vectors with null or non-finite components link with nothing: no
     links, their own component, kept (a null id: null component, not kept). Rows that repeat an id with an equal vector
@@ -151,7 +196,7 @@ def dedup(vectors: DataFrame, least: float = 0.98, turns: int = 12, window: int
     sort_kind = f"turn int, label {kind['label']}, dim int, key long, rep long, v binary"
     keyed = same.select("label", "dim", "rep", "v").mapInPandas(_keyed(turns, seed), sort_kind)
     edges = _blocks(keyed, held, window, block).groupBy("block").applyInPandas(_windowed(window, least), "a long, b long")
-    comps = held.put(components(edges, held), "components")
+    comps = _united(same, held.put(components(edges, held), "components"), held, least)
 
     sizes = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     total = comps.count()

@@ -158,6 +158,25 @@ def test_large_components_are_counted_in_blocks(spark):
     assert {r.vec_id: r.n_links for r in got} == dict(enumerate(want.tolist()))
 
 
+def test_links_outside_every_window(spark):
+    """Vectors of one label that share a direction, pairs planted: one pass with a window of one row misses most of them."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=32)
+    rows = [(i, (2 * base + rng.normal(size=32)).tolist(), "a") for i in range(2500)]
+    rows += [(5000 + i, (np.array(rows[i][1]) + rng.normal(size=32) * 0.3).tolist(), "a") for i in range(300)]
+    got = vecdedup.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), turns=1, window=1).collect()
+    e = np.array([r[1] for r in rows])
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    ids = [r[0] for r in rows]
+    links = {}
+    for a, b in np.argwhere(e @ e.T >= 0.98):
+        if a != b:
+            links.setdefault(ids[a], []).append(ids[b])
+    comp = reach(links, ids)
+    assert sum(map(len, links.values())) > 300
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {v: (len(links.get(v, [])), comp[v], comp[v] == v) for v in ids}
+
+
 # --- languages ---
 
 
