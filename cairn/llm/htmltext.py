@@ -92,21 +92,25 @@ def read(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
     here, blocks, containers = top, [], [top]
     stack = [top]
     buffer: list[str] = []
+    linked: list[str] = []
 
     def flush() -> None:
         if buffer:
             text = " ".join(entities.unescape("".join(buffer)).split())
+            links = len(" ".join(entities.unescape("".join(linked)).split()))
             buffer.clear()
+            linked.clear()
             if text:
                 blocks.append((here.container, text))
                 here.container.own += len(text)
-                if here.link:
-                    here.container.linked += len(text)
+                here.container.linked += min(links, len(text))
 
     def text(part: str) -> None:
         if part and not here.dropped:
             if here.tag != "header" or here.heading or not here.article:
                 buffer.append(part)
+                if here.link:
+                    linked.append(part)
 
     def close(k: int) -> None:
         nonlocal here
@@ -180,43 +184,69 @@ def _inside(node: Node, path: str) -> bool:
     return node.path == path or node.path.startswith(path + "/")
 
 
+def _gains(containers: list[Node]) -> dict[int, float]:
+    """Own score of each container by its order: text outside links less twice that in links, one and a half times in an article."""
+    return {n.order: max(0.0, n.own - 3.0 * n.linked) * (1.5 if n.article else 1.0) for n in containers}
+
+
+def _chosen(containers: list[Node], gains: dict[int, float]) -> tuple[Node, Node, float] | None:
+    """The core, the deepest container with four fifths of the page's score; the container to read, and its score."""
+    total = dict.fromkeys(gains, 0.0)
+    for node in containers:
+        up: Node | None = node
+        while gains[node.order] and up is not None:
+            if up.container is up:
+                total[up.order] += gains[node.order]
+            up = up.parent
+    whole = total[0]
+    if not whole:
+        return None
+    deepest = lambda share: max((n for n in containers if total[n.order] >= share * whole), key=lambda n: (n.path.count("/"), n.order))
+    core = best = deepest(0.8)
+    if core.article:
+        up = core
+        while up is not None:
+            if up.container is up and up.tag in ("article", "main") or up.tag == "main":
+                best = up.container
+            up = up.parent
+    else:
+        best = deepest(1 - 1e-9)
+    return core, best, total[best.order]
+
+
 def vote(page: str | None) -> tuple[str, float] | None:
     """The path of a page's content container and its score.
 
     A container's own score is its text outside links, less twice that in links, at least 0; a subtree's score sums those
-    up. The choice is the deepest container, latest on equal depth, whose subtree has four fifths of the page's score; an
-    article or main element counts one and a half times.
+    up; in an article or main element it counts one and a half times. The core is the deepest container, latest on equal
+    depth, whose subtree has four fifths of the page's score. The choice is the outermost article or main around the core;
+    without one, the deepest container that has the whole score. So what stands beside the core is not lost.
     """
     if not page:
         return None
     _, containers = read(page)
-    total: dict[int, float] = {}
-    for node in containers[::-1]:
-        gain = max(0.0, node.own - 3.0 * node.linked) * (1.5 if node.article else 1.0)
-        up: Node | None = node
-        if gain:
-            while up is not None:
-                if up.container is up:
-                    total[id(up)] = total.get(id(up), 0.0) + gain
-                up = up.parent
-    whole = total.get(id(containers[0]), 0.0)
-    if not whole:
-        return None
-    best = max((n for n in containers if total.get(id(n), 0.0) >= 0.8 * whole), key=lambda n: (n.path.count("/"), n.order))
-    return best.path, total[id(best)]
+    own = _chosen(containers, _gains(containers))
+    return own and (own[1].path, own[2])
 
 
 def extract(page: str | None, winners: list[str] | None) -> str:
-    """The blocks below the first winning path that the page has, else below the page's own choice, joined by spaces."""
+    """The blocks below the first winning path with 0.95 of the score of the page's own choice, else below that choice, joined by spaces.
+
+    Outside articles, containers of mostly links that lie beside the page's core are left out. A page without score takes
+    the first winning path that it has, else all its blocks.
+    """
     if not page:
         return ""
-    blocks, _ = read(page)
-    for path in winners or []:
-        found = [t for n, t in blocks if _inside(n, path)]
-        if found:
-            return " ".join(found)
-    own = vote(page)
-    return " ".join(t for n, t in blocks if own is None or _inside(n, own[0]))
+    blocks, containers = read(page)
+    gains = _gains(containers)
+    own = _chosen(containers, gains)
+    if own is None:
+        found = next((f for path in winners or [] if (f := [t for n, t in blocks if _inside(n, path)])), None)
+        return " ".join(found or [t for _, t in blocks])
+    core, best, score = own
+    inside = lambda path: sum(gains[n.order] for n in containers if _inside(n, path))
+    path = next((p for p in winners or [] if inside(p) >= 0.95 * score), best.path)
+    return " ".join(t for n, t in blocks if _inside(n, path) and (n.article or gains[n.order] or not n.linked or _inside(n, core.path)))
 
 
 def main_text(pages: DataFrame, most_paths: int = 8, least_share: float = 0.05) -> DataFrame:
@@ -224,7 +254,7 @@ def main_text(pages: DataFrame, most_paths: int = 8, least_share: float = 0.05)
 
     First every page names its content container's path and its score; per host, the paths are ranked by votes, then score,
     then path, and those with least_share of the host's votes, most_paths at most, win. Then every page is read again by the
-    first of them that it has; a page that has none keeps its own choice, so nothing is lost to the bound. Null or empty
+    first of them that holds nearly all of its own choice; a page that has none keeps that choice, so nothing is lost to the bound. Null or empty
     html: empty text, no vote. Null urls vote as one host, the empty one. Repeated rows are treated alike; other columns
     are ignored; an empty table gives an empty result. Only votes are shuffled; winners are broadcast when they are few and
     joined by host otherwise.

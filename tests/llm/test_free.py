@@ -99,6 +99,19 @@ def test_pages(spark):
     assert htmltext.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_keep_what_stands_beside_the_largest_part(spark):
+    body = "<div class=body>" + "<p>A long paragraph of the article's own text.</p>" * 9 + "</div>"
+    want = "Headline Lead. " + " ".join(["A long paragraph of the article's own text."] * 9) + " The end."
+    inner = f"<h1>Headline</h1><p>Lead.</p>{body}<p>The end.</p>"
+    rows = [(k, f"http://a.org/{k}", f"<body><nav><a href=x>Menu</a></nav><article>{inner}</article><footer>x</footer>") for k in range(4)]
+    rows += [(10 + k, f"http://b.org/{k}", f"<body><div class=top><a href=x>Home</a></div><div class=wrap>{inner}</div><div class=end><a href=y>More</a></div>") for k in range(4)]
+    rows += [(20, "http://a.org/second", "<body><article><p>Short box.</p></article><div class=story>" + "<p>Text of the second template.</p>" * 9 + "</div>")]
+    rows += [(30, "http://c.org/x", f"<body><main><h1>Headline</h1><p>Lead.</p><article>{body}</article><p>The end.</p></main>")]
+    got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == want for k in got if k != 20)
+    assert got[20] == " ".join(["Short box."] + ["Text of the second template."] * 9)
+
+
 # --- vectors ---
 
 
