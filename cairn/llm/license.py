@@ -136,21 +136,32 @@ class Scanner:
         return out
 
     def _found(self, words: list[str], template: list[str], region: tuple[int, int]) -> list[tuple[float, int, int, int]]:
-        """Matches in a region; one longer than the stretch holds copies side by side and is cut where the text starts anew."""
+        """Matches in a region. Every place that can start one is aligned, so a match needs no particular first word.
+
+        A start is skipped only if the words in its window are too few for a match in any order. Of the starts inside the
+        first window that matches, that with the most matched words is taken; the search goes on behind it.
+        """
         lo, hi = region
         out = []
-        reach = int(self.stretch * len(template))
-        while hi - lo >= self.least * len(template):
-            end = min(hi, lo + reach)
-            pairs = align(words[lo:end], template)
-            if len(pairs) >= self.least * len(template):
-                first, last = lo + pairs[0][0], lo + pairs[-1][0]
-                out.append((len(pairs) / len(template), first, last, len(pairs)))
-                lo = last + 1
-            else:
-                lo += 1
-                while lo < hi and words[lo] != template[0] and hi - lo > reach:
-                    lo += 1
+        need, reach, counts = self.least * len(template), int(self.stretch * len(template)), Counter(template)
+        best: list[tuple[int, int]] = []
+        until = hi
+        while lo < hi and (best or hi - lo >= need):
+            if best and lo >= until:
+                out.append((len(best) / len(template), best[0][0], best[-1][0], len(best)))
+                lo, best, until = best[-1][0] + 1, [], hi
+                continue
+            window = words[lo : lo + reach] if lo + reach <= hi else words[lo:hi]
+            if window and window[0] in counts and (counts & Counter(window)).total() >= max(need, len(best) + 1):
+                pairs = [(lo + x, y) for x, y in align(window, template)]
+                if len(pairs) >= need and len(pairs) > len(best):
+                    until = until if best else pairs[0][0] + reach - int(need) + 1
+                    best = pairs
+                    if len(best) == len(template):
+                        until = lo
+            lo += 1
+        if best:
+            out.append((len(best) / len(template), best[0][0], best[-1][0], len(best)))
         return out
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:

@@ -76,6 +76,17 @@ def test_licenses(spark):
     assert got[0].licenses[0].coverage == 1.0 and got[0].licenses[0].first_word == 3000 and 0.8 <= got[1].top_coverage < 1
 
 
+def test_license_without_its_first_word():
+    rng = random.Random(8)
+    prose = "the of and to in is that for it as was with be by on not or this are but from at which have an they you were their one all we can has there been if more when will would who so no any other such shall without person use copy notice".split()
+    around = lambda: " ".join(rng.choice(prose) for _ in range(600))
+    scanner = license.Scanner({"MIT": license.TEMPLATES["MIT"]})
+    for k in range(4):
+        text = license.TEMPLATES["MIT"].split(" ", 1)[1]
+        found = scanner.scan(f"{around()} {'Authorization' if k % 2 else ''} {text} {around()}")
+        assert [r[0] for r in found] == ["MIT"] and found[0][1] >= 0.9, found
+
+
 # --- pages ---
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>if (a < b) "</p>"</script></head><body class="with-sidebar">
