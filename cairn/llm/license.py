@@ -51,6 +51,70 @@ TEMPLATES = {
         "PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with "
         "this program. If not, see https://www.gnu.org/licenses/."
     ),
+    "reserved-rights-line": "All rights reserved.",
+    "CC-BY-4.0-line": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-line": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0-line": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0-line": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0-line": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "LGPL-3.0-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+        "met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+        "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+        "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+        "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+        "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+        "met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. "
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+        "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+        "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+        "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+        "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "GPL-2.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the "
+        "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        "PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with "
+        "this program. If not, see https://www.gnu.org/licenses/."
+    ),
+    "LGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the "
+        "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        "PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with "
+        "this program. If not, see https://www.gnu.org/licenses/."
+    ),
+    "AGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the "
+        "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        "PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with "
+        "this program. If not, see https://www.gnu.org/licenses/."
+    ),
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
 }
 
 RESULT = "array<struct<license:string, coverage:double, first_word:int, last_word:int, matched:int>>"
@@ -110,6 +174,8 @@ class Scanner:
         self.least, self.stretch = least, stretch
         self.templates = {k: [w.lower() for w in WORD.findall(v)] for k, v in sorted(templates.items())}
         self.counts = {k: Counter(v) for k, v in self.templates.items()}
+        alike = lambda a, b: (self.counts[a] & self.counts[b]).total() >= least * max(len(self.templates[a]), len(self.templates[b]))
+        self.siblings = {(a, b) for a in self.templates for b in self.templates if a != b and alike(a, b)}
         self.vocabulary = {w for v in self.templates.values() for w in v}
 
     def _regions(self, words: list[str], counts: Counter, size: int) -> list[tuple[int, int]]:
@@ -165,7 +231,10 @@ class Scanner:
         return out
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
-        """(license, coverage, first word, last word, matched words) of each match, in text order."""
+        """(license, coverage, first word, last word, matched words) of each match, in text order.
+
+        Of matches in one place by templates that differ in few words, only the best stays: these are variants of one text.
+        """
         if not text:
             return []
         words = [w.lower() for w in WORD.findall(text)]
@@ -177,14 +246,15 @@ class Scanner:
                 continue  # bounds the coverage from above
             for region in self._regions(words, counts, size):
                 out += [(name, c, first, last, n) for c, first, last, n in self._found(words, template, region)]
-        return sorted(out, key=lambda r: (r[2], r[3], r[0]))
+        better = lambda r, s: (s[0], r[0]) in self.siblings and s[2] <= r[3] and r[2] <= s[3] and (s[1], s[4]) > (r[1], r[4])
+        return sorted((r for r in out if not any(better(r, s) for s in out)), key=lambda r: (r[2], r[3], r[0]))
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = 0.8, stretch: float = 1.5) -> DataFrame:
     """doc_id, licenses (array of license, coverage, first_word, last_word, matched), top_license, top_coverage, n_licenses.
 
     Every document is scanned whole. A license is found where at least `least` of its template's words align within
-    `stretch` times its length. Null and empty texts and texts without a match: empty array, null top, coverage 0. top is
+    `stretch` times its length; of variants of one license in one place only the best counts. Null and empty texts and texts without a match: empty array, null top, coverage 0. top is
     the best coverage, then most words, then name. Repeated rows are alike; other columns are ignored; an empty table gives
     an empty result.
     """

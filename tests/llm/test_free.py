@@ -87,6 +87,15 @@ def test_license_without_its_first_word():
         assert [r[0] for r in found] == ["MIT"] and found[0][1] >= 0.9, found
 
 
+def test_every_kind_of_license_line():
+    scanner = license.Scanner(license.TEMPLATES)
+    for name, template in license.TEMPLATES.items():
+        found = scanner.scan(f"Some words before. {template} Some words behind.")
+        assert (name, 1.0) in [r[:2] for r in found], (name, found)
+        assert {r[0] for r in found} <= {name, "Apache-2.0-line"}, (name, found)
+    assert [r[0] for r in scanner.scan("Text of a page. All rights reserved.")] == ["reserved-rights-line"]
+
+
 # --- pages ---
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>if (a < b) "</p>"</script></head><body class="with-sidebar">
