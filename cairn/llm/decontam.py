@@ -9,6 +9,10 @@ from .common import Held, by_ids
 
 #: Kept positions of each mask; the positions between them are ignored, so a substitution there costs no hit.
 MASKS = ((0, 1, 3, 5, 6), (0, 2, 3, 4, 7), (0, 1, 2, 4, 8))
+#: With these, every way to keep 9 of 12 equal words has a hit. OP6_SQL has MASKS alone.
+MORE_MASKS = ((0, 1, 2, 3, 4), (0, 1, 6, 7, 9))
+#: With these too, every way in which an item of 5 to 11 words can match has a hit.
+SHORT_MASKS = ((0, 1, 2, 5, 6), (0, 1, 3, 4, 5), (0, 1, 2, 5, 7), (0, 1, 4, 6, 7), (0, 2, 3, 4, 5))
 #: Item hashes up to this many rows are broadcast (about 40 bytes each); beyond it the hashes are joined by a shuffle.
 BROADCAST_SEEDS = 200_000
 BREAK = r"[^\p{L}\p{N}]+"
@@ -41,12 +45,13 @@ def _aligned(window: int, share: float) -> tuple[Column, Column, Column, Column]
     return same, width, best, F.greatest(F.ceil(F.col("width") * share), F.least(F.lit(6), size)).cast("int")
 
 
-def leaks(docs: DataFrame, items: DataFrame, masks=MASKS, window: int = 12, share: float = 0.75, least: int = 5, held: Held | None = None) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, masks=MASKS + MORE_MASKS, window: int = 12, share: float = 0.75, least: int = 5, held: Held | None = None) -> DataFrame:
     """doc_id, item_id, matched, item_words, best, at: one row for each document and benchmark item found in it.
 
     A document leaks an item if, laid over each other at some seed hit, a window of `window` consecutive tokens of the item
     (all of a shorter item) has a `share` of them equal at the same places, and 6 or the whole item at least. matched is the
     most equal tokens over the whole item, best the most in a window, at the item's offset in the document (ties: smallest).
+    With the default masks, window and share, every such place has a seed hit.
     Every token of every text is looked at.
 
     Items with fewer than `least` words, null or empty texts, and null ids never match; repeated items and rows are merged
@@ -58,7 +63,7 @@ def leaks(docs: DataFrame, items: DataFrame, masks=MASKS, window: int = 12, shar
     items = held.put(items, "items")
     shortest = items.agg(F.min(F.size("t")).alias("n")).first()["n"] or least
     if shortest <= max(m[-1] for m in masks):
-        masks = (*masks, tuple(range(least)))
+        masks = tuple(dict.fromkeys((*masks, tuple(range(least)), *SHORT_MASKS)))
     known = held.put(seeds(items, ["item_id"], masks, True).select(F.col("seed").alias("_seed"), "item_id", F.col("p").alias("q")).distinct(), "seeds")
     if known.count() <= BROADCAST_SEEDS:
         known = F.broadcast(known)

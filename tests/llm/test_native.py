@@ -162,3 +162,18 @@ def test_leaks(spark):
     kept = decontam.clean(table, bench)
     assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} >= {r[0] for r in clean} - {202}
     assert decontam.leaks(table.limit(0), bench).count() == 0 and decontam.leaks(table, bench.limit(0)).count() == 0
+
+
+def test_every_pattern_of_substitutions_is_found(spark):
+    """Each way to change as many words of an item of 5 to 12 as a match allows, against comparing every offset."""
+    from itertools import combinations
+
+    items, rows = [], []
+    for n in range(5, 13):
+        words = [f"n{n}w{i}" for i in range(n)]
+        items.append((n, " ".join(words)))
+        for gone in combinations(range(n), n - max(-(-n * 3 // 4), min(6, n))):
+            rows.append((len(rows), "before " + " ".join("other" if i in gone else w for i, w in enumerate(words)) + " behind", "en", "s"))
+    for some in (items, items[-1:]):
+        got = {(r.doc_id, r.item_id) for r in decontam.leaks(docs(spark, rows), spark.createDataFrame(some, "item_id long, text string")).collect()}
+        assert got == brute_leaks([r[:2] for r in rows], some)
