@@ -132,6 +132,64 @@ def test_pages_keep_what_stands_beside_the_largest_part(spark):
     assert got[20] == " ".join(["Short box."] + ["Text of the second template."] * 9)
 
 
+def page_text(spark, rows):
+    return {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_menus_of_links_without_marks():
+    prose = "Plain text of the page that is long enough to be read. "
+    link = "<a href=x>some text of a link</a>"
+    for menu in (f"<div class=y>{link * 60}</div>", "<ul>" + f"<li>{link}" * 40 + "</ul>", "<table>" + f"<tr><td>{link}</td></tr>" * 40 + "</table>"):
+        for page in (f"<div class=x><p>{prose}</p></div>{menu}", f"{menu}<p>{prose}</p>", f"<body>{menu}<div><p>{prose}</p></div>"):
+            assert htmltext.extract(page) == prose.strip(), page
+    assert htmltext.extract(f"<article><p>{prose}<ul><li>one<li>{link}</ul></article>") == f"{prose}one some text of a link"
+
+
+def test_class_words_around_the_article():
+    prose = "Words of the article. " * 20
+    for top in ("<div class='login-help'>", "<div id=main class='page-search-results'>", "<body class='comments-open'><div class='post comments-enabled'>", "<div class='widget'><article>"):
+        assert htmltext.extract(f"{top}<h1>Head</h1><p>{prose}</p>") == f"Head {prose.strip()}", top
+    assert htmltext.extract(f"<div class=post>Short.</div><section id=comments><article>{prose}</article></section><div class=sidebar>{prose}</div>") == "Short."
+    assert htmltext.extract("<article><h1>Head</h1><p>lead</p><section>" + "body " * 200 + "</section></article>") == "Head lead " + ("body " * 200).strip()
+
+
+def test_deep_and_long_pages():
+    deep = "<div>" * 10_000 + "deep text" + "</div>" * 10_000
+    assert htmltext.extract(deep) == "deep text" and len(htmltext.votes(deep)) == 2 and max(len(v[0]) for v in htmltext.votes(deep)) < 400
+    assert htmltext.extract("<p>a" + "</x>" * 50_000) == "a"
+    assert htmltext.extract("<p>word " * 50_000).count("word") == 50_000
+
+
+def test_hosts_decide(spark):
+    """Pages whose own judgement is wrong are read by their host's paths; chrome without a telling name is left out."""
+    rng = random.Random(3)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    welcome, rows, want = "Welcome to this site, it is a fine one.", [], {}
+    for k in range(40):
+        text = prose(4 if k == 7 else 80)  # page 7: an article shorter than what stands beside it
+        rows.append((k, f"http://a.org/{k}", f"<body><div class=greet>{welcome}</div><div class=x1><p>{text}</p></div><div class=x2>{prose(30 + k % 3)}</div>"))
+        want[k] = text
+    for k in range(40, 45):  # another template, seen once each
+        text = prose(60)
+        rows.append((k, f"http://a.org/{k}", f"<body><div class=x1><p>tiny</p></div><div class=other{chr(k + 57)}><p>{text}</p></div>"))
+    rows += [(100 + k, f"http://b.org/{k}", f"<body><div class=x1><p>{rows[0][2]}</p></div>") for k in range(20)]  # copies are no chrome
+    got = page_text(spark, rows)
+    alone = {k: htmltext.extract(h) for k, _, h in rows}
+    assert welcome in alone[3] and not any(welcome in got[k] for k in range(40))
+    assert got[7] != alone[7] and all(want[k] in got[k] for k in want)
+    assert all(got[100 + k] == alone[100 + k] for k in range(20))
+
+
+def test_a_short_article_beside_a_long_box(spark):
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    page = lambda a, b: f"<body><main>{a}</main><section class=more>{b}</section>"
+    short = prose(5)
+    rows = [(k, f"http://a.org/{k}", page(prose(90), prose(8))) for k in range(9)] + [(9, "http://a.org/9", page(short, prose(90))), (10, "http://b.org/9", page(short, prose(90)))]
+    got = page_text(spark, rows)
+    assert got[9] == short and got[10] != short  # only the first host knows better
+
+
 # --- vectors ---
 
 
