@@ -331,7 +331,7 @@ def extract(page: str | None, marks: dict[str, str] | None = None) -> str:
     return " ".join(t for n, t in seen.blocks if inside[n.order] and text(n))
 
 
-def consensus(votes: DataFrame, least_share: float = 0.01, distinct: float = 0.2) -> DataFrame:
+def consensus(votes: DataFrame, held: Held, least_share: float = 0.01, distinct: float = 0.2) -> DataFrame:
     """(host, marks) from the votes (host, path, won, own, whole) of all pages of all hosts.
 
     A path is marked if two pages and least_share of its host's pages have it, so a host has at most as many marks as its
@@ -343,6 +343,7 @@ def consensus(votes: DataFrame, least_share: float = 0.01, distinct: float = 0.2
         F.count(F.lit(1)).alias("n"), F.sum("won").alias("won"), F.count("own").alias("n_own"),
         F.approx_count_distinct("own").alias("texts"), F.approx_count_distinct("whole").alias("pages"),
     )
+    known = held.put(known, "known")  # read twice below; a page is not to be scored twice for that
     hosts = known.filter("path = ''").select(F.col("host").alias("_host"), F.col("n").alias("all"))
     known = known.filter("path <> '' and n >= 2").join(hosts, F.col("host") == F.col("_host")).filter(F.col("n") >= F.col("all") * least_share)
     chrome = (F.col("pages") >= 5) & (F.col("n_own") >= 0.8 * F.col("n")) & (F.col("texts") <= distinct * F.col("pages"))
@@ -369,7 +370,7 @@ def main_text(pages: DataFrame, least_share: float = 0.01) -> DataFrame:
             yield pd.DataFrame({"host": list(host), "path": list(path), "won": list(won), "own": pd.array(list(own), "Int64"), "whole": list(whole)})
 
     rows = pages.select("page_id", "url", "html", host_path(F.col("url"))[0].alias("host"))
-    marks = consensus(rows.select("host", "html").mapInPandas(voted, "host string, path string, won int, own long, whole long"), least_share)
+    marks = consensus(rows.select("host", "html").mapInPandas(voted, "host string, path string, won int, own long, whole long"), held, least_share)
     marks = held.put(marks.withColumnRenamed("host", "_host"), "marks")
     size = marks.agg(F.sum(F.length(F.to_json("marks")) + F.length("_host"))).first()[0] or 0
     if size <= 8_000_000:
