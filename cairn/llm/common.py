@@ -2,57 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.ship import ship
+from cairn.functions import held
 
 #: Ids up to this many are broadcast (8 bytes each, so 16 MB at most before hashing); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="cairn-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-class Held:
-    """Tables written to the shared folder and read again: they cut lineage and outlive lost executors."""
+class Held(held.Held):
+    """Held tables of text operators: texts are long, so Python workers get 2,000 rows at once."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.top = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.made = 0
-        ship(spark)
-        batch = "spark.sql.execution.arrow.maxRecordsPerBatch"  # texts are long: 2,000 of them are some 10 MB for a Python worker
-        spark.conf.set(batch, str(min(2000, int(spark.conf.get(batch, "10000")) or 2000)))
-
-    def put(self, df: DataFrame, name: str = "t") -> DataFrame:
-        self.made += 1
-        path = f"{self.top}/{self.made:03d}-{name}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._held_path = path
-        return out
-
-    def drop(self, df: DataFrame | None) -> None:
-        """Deletes a table that no later step reads."""
-        path = getattr(df, "_held_path", None)
-        if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a plan's size in bytes, without a job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        super().__init__(spark, name, 2000)
 
 
 def by_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
@@ -100,25 +63,25 @@ def utf8_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0))
 
 
-def components(edges: DataFrame, held: Held, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, store: Held, most_rounds: int = 60) -> DataFrame:
     """(a, b) bigint edges -> (node, comp): the smallest node reachable, for every node of an edge.
 
     Alternating large-star and small-star rounds: each is a groupBy with map-side minimum and a join on the node, so a hub
     costs its edges once a round and chains shrink by a factor a round. Every round is written to the shared folder.
     """
-    now = held.put(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    now = store.put(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     files = now.count() // 200_000 + 1  # a round has no more edges than that; without this, every small round writes a file a partition
     mark = None
     for _ in range(most_rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.join(low, F.col("u") == F.col("k")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = held.put(large.coalesce(files), "large")
+        large = store.put(large.coalesce(files), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
-        small = held.put(small.coalesce(files), "small")
-        held.drop(large)
-        held.drop(now)
+        small = store.put(small.coalesce(files), "small")
+        store.drop(large)
+        store.drop(now)
         now = small
         seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"), F.count_distinct("u").alias("d")).first()
         if seen == mark and seen["n"] == seen["d"]:

@@ -13,7 +13,8 @@ two. A set signs
 * its first H + 1 - P narrow segments in an order that depends on their content alone: those with a rare element first, then
   larger subsets, then by hash. Equal segments have equal places in that order, so the first equal narrow segment of a pair
   is among these of both sets.
-Hence a pair that links shares a signature, whatever is called rare. Costs allocate: frequent elements (a common line or
+Hence a pair that links shares a signature, whatever is called rare, and is a candidate: its sets are fetched and compared.
+Costs allocate: frequent elements (a common line or
 passage) come from a sketch of document frequencies over the whole corpus, and how many segments a band has, and how many of
 them wide, is chosen by an estimate in which small subsets cost more, as unrelated sets share them.
 """
@@ -30,11 +31,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Held, by_ids, components, input_bytes
+from .common import BROADCAST_IDS, Held, by_ids, components
 
 U = np.uint64
 SHINGLE = 5
-SKETCH_BITS = 20
+SKETCH_BITS = 22
+PART = 1_250_000  # shingles of the corpus for each part of the signatures' space
+RUN = 32  # sets that share a signature, up to which they are compared as pairs
+TASK_BYTES = 16 << 20  # of sets that a Python worker compares at once
 STEP = 0x9E3779B97F4A7C15  # odd; powers of it place bytes in a word's hash
 _MASK = (1 << 64) - 1
 
@@ -246,56 +250,67 @@ def _described(key: str):
 
 
 def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64) for x in pdf["counts"])
-    return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "total": [int(total.sum())], "counts": [total.tobytes()]})
+    total = sum(np.frombuffer(zlib.decompress(x), np.int64 if wide else np.uint32).astype(np.int64) for x, wide in zip(pdf["counts"], pdf["wide"], strict=True))
+    return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "total": [int(total.sum())], "counts": [zlib.compress(total.tobytes(), 1)], "wide": [True]})
 
 
-def frequent(counters: DataFrame) -> np.ndarray:
-    """The sketch's counters that stand out: over 50 and three times the mean. A fixed number of bits, whatever the corpus.
+def frequent(counters: DataFrame, held: Held) -> bytes:
+    """A bit for each of the sketch's counters that stands out: over 50 and three times the mean.
 
-    The sketch only ranks segments by their cost, so its collisions cost time, not links.
+    A fixed number of bits (half a megabyte), whatever the corpus. Counters are summed in two steps, so that no task has
+    those of more than 1,024 partitions. The sketch only ranks segments by cost: its collisions cost time, not links.
     """
-    rows = counters.groupBy("block").applyInPandas(_summed, "block int, total long, counts binary").collect()
-    counts = np.zeros((1 << SKETCH_BITS - 12, 1 << 12), np.int64)
-    for row in rows:
-        counts[row["block"]] = np.frombuffer(bytes(row["counts"]), np.int64)
-    return (counts > max(50.0, 3 * counts.mean())).reshape(-1)
+    kind = "block int, total long, counts binary, wide boolean"
+    some = counters.select("block", "counts", F.lit(False).alias("wide"), F.expr("spark_partition_id() div 1024").alias("of"))
+    some = some.groupBy("block", "of").applyInPandas(_summed, kind).groupBy("block").applyInPandas(_summed, kind)
+    sums = held.put(some, "sketch")
+    floor = max(50.0, 3 * (sums.agg(F.sum("total")).first()[0] or 0) / (1 << SKETCH_BITS))
 
+    def flagged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bits = [np.packbits(np.frombuffer(zlib.decompress(x), np.int64) > floor).tobytes() for x in pdf["counts"]]
+            yield pd.DataFrame({"block": pdf["block"], "bits": bits})
+
+    out = np.zeros((1 << SKETCH_BITS - 12, 1 << 9), np.uint8)
+    for row in sums.mapInPandas(flagged, "block int, bits binary").collect():
+        out[row["block"]] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    return out.tobytes()
 
-def _packed(bits: int, heavy, most: int = 1_000_000):
-    """Texts -> a blob for each part of the signatures' space: set ids, sizes, numbers of signatures and their low 32 bits.
 
-    The part is a signature's high bits; parts grow in number with the input, so equal low bits within one are rarely
-    chance, and chance only costs a comparison. A blob has four kinds of numbers instead of a row a signature, so a
-    signature is shuffled in little more than four bytes.
+def _packed(parts: int, heavy, most: int = 1_000_000):
+    """Texts -> a blob for each part of the signatures' space: set ids, sizes, numbers of signatures and 40 of their bits.
+
+    The part comes from a signature's high bits. Parts grow in number with the input, without end, so the chance that two
+    signatures of a part have equal bits stays the same, about one in 2**40 for each, and costs one comparison. A blob has
+    arrays of numbers instead of a row a signature, so a signature is shuffled in little more than five bytes.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def flush():
             sig = np.concatenate(sigs)
-            doc = np.repeat(np.arange(len(sigs)), [len(x) for x in sigs])
-            part = (sig >> U(64 - bits)).astype(np.int64)
+            doc = np.repeat(np.arange(len(sigs), dtype=np.int32), [len(x) for x in sigs])
+            part = ((sig >> U(32)) * U(parts)) >> U(32)
             order = np.argsort(part, kind="stable")
-            sig, doc, part = sig[order].astype(np.uint32), doc[order], part[order]
-            cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
+            sig, doc, part = sig[order], doc[order], part[order]
+            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+            low, high = sig.astype(np.uint32), (sig >> U(32)).astype(np.uint8)
+            names, size = np.array(ids, np.int64), np.array(sizes, np.int32)
             rows = []
-            for p in range(1 << bits):
-                lo, hi = cuts[p], cuts[p + 1]
-                if lo < hi:
-                    d, k = np.unique(doc[lo:hi], return_counts=True)
-                    rows.append((p, np.array(ids, np.int64)[d].tobytes(), np.array(sizes, np.int32)[d].tobytes(), k.astype(np.int32).tobytes(), sig[lo:hi].tobytes()))
-            return pd.DataFrame(rows, columns=["part", "ids", "sizes", "counts", "sigs"])
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                d, k = np.unique(doc[lo:hi], return_counts=True)
+                rows.append((int(part[lo]), names[d].tobytes(), size[d].tobytes(), k.astype(np.int32).tobytes(), low[lo:hi].tobytes(), high[lo:hi].tobytes()))
+            return pd.DataFrame(rows, columns=["part", "ids", "sizes", "counts", "low", "high"])
 
         frequent_ = np.unpackbits(np.frombuffer(heavy.value, np.uint8)).astype(bool)
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         sigs, ids, sizes, total = [], [], [], 0
         for pdf in batches:
             for s in shingle_sets(list(pdf["text"])):
-                if not len(s) or (h := identity(s)[0]) in seen:
+                if not len(s) or (name := identity(s)) in seen:
                     continue  # a copy in the same batch of texts signs once
-                seen.add(h)
+                seen.add(name)
                 sigs.append(np.unique(signatures(s, frequent_)))
-                ids.append(h)
+                ids.append(name)
                 sizes.append(len(s))
                 total += len(sigs[-1])
                 if total >= most:
@@ -307,41 +322,88 @@ def _packed(bits: int, heavy, most: int = 1_000_000):
     return run
 
 
-def _met(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(a, b): the sets that share a signature in a part, as a star: each set of a run with the run's smallest, once a part.
+#: One set and another that shares a signature with it, each by its two hashes, and the first hash of the first set of their run.
+MET = "long boolean, ah long, ag long, bh long, bg long, c long"
 
-    Runs of two whose sizes rule them out are left out.
+
+def met(pdf: pd.DataFrame, run: int = RUN) -> pd.DataFrame:
+    """The pairs of sets of a part that share a signature and whose sizes allow a link, each once.
+
+    Of runs with more sets than `run`, each set with the run's first one (long), so rows grow with the signatures only.
     """
-    ids = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]])
-    sizes = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["sizes"]])
-    counts = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["counts"]])
-    sigs = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["sigs"]])
-    names, first, node = np.unique(ids, return_index=True, return_inverse=True)
-    once = np.zeros(len(ids), bool)
-    once[first] = True
-    keep = np.repeat(once, counts)
-    sigs, node, size = sigs[keep], np.repeat(node, counts)[keep], sizes[first]
-    order = np.lexsort((node, sigs))
-    sigs, node = sigs[order], node[order]
-    fresh = np.concatenate([[True], (sigs[1:] != sigs[:-1]) | (node[1:] != node[:-1])])
-    sigs, node = sigs[fresh], node[fresh]
-    starts = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]])) if len(sigs) else np.zeros(0, np.int64)
-    length = np.diff(np.append(starts, len(sigs)))
-    starts, length = starts[length > 1], length[length > 1]
-    two = length == 2
-    one, other = size[node[starts[two]]].astype(np.int64), size[node[starts[two] + 1]].astype(np.int64)
-    fits = np.ones(len(starts), bool)
-    fits[two] = 4 * np.minimum(one, other) >= 3 * np.maximum(one, other)
-    starts, length = starts[fits], length[fits] - 1
-    at = np.repeat(starts + 1 - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
-    pairs = np.unique(np.repeat(node[starts], length) * len(names) + node[at])
-    return pd.DataFrame({"a": names[pairs // len(names)], "b": names[pairs % len(names)]})
-
-
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        got = list(shingle_sets(list(pdf["text"])))
-        yield pd.DataFrame({"clump": pdf["clump"], "cuts": pdf["cuts"], "h": [identity(s)[0] for s in got], "u": [s.tobytes() for s in got]})
+    ids = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]]).reshape(-1, 2)
+    sizes, counts = (np.concatenate([np.frombuffer(x, np.int32) for x in pdf[c]]) for c in ("sizes", "counts"))
+    key = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["low"]]).astype(np.uint64)
+    key |= np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["high"]]).astype(np.uint64) << U(32)
+    order = np.lexsort((ids[:, 1], ids[:, 0]))
+    fresh = np.concatenate([[True], (ids[order[1:]] != ids[order[:-1]]).any(1)])
+    first = order[fresh]  # a set that several batches of texts signed counts once
+    node = np.full(len(ids), -1, np.int32)
+    node[first] = np.arange(len(first), dtype=np.int32)
+    node = np.repeat(node, counts)
+    names, size = ids[first], sizes[first].astype(np.int64)
+    key, node = key[node >= 0], node[node >= 0]
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    length = np.diff(np.append(starts, len(key)))
+    found, stars = [np.zeros((0, 3), np.int64)], [np.zeros((0, 3), np.int64)]
+    for n in np.unique(length[length > 1]):
+        runs = starts[length == n]
+        if n > run:
+            for lo in runs:
+                stars.append(np.stack([np.full(n - 1, node[lo]), node[lo + 1 : lo + n], np.full(n - 1, node[lo])], 1).astype(np.int64))
+            continue
+        member = node[runs[:, None] + np.arange(n)].astype(np.int64)
+        i, j = np.triu_indices(n, 1)
+        a, b, c = member[:, i].ravel(), member[:, j].ravel(), np.repeat(member[:, 0], len(i))
+        fits = 4 * np.minimum(size[a], size[b]) >= 3 * np.maximum(size[a], size[b])
+        found.append(np.stack([a, b, c], 1)[fits])
+    out = []
+    for wide, rows in ((False, np.concatenate(found)), (True, np.concatenate(stars))):
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+        rows = rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)])] if len(rows) else rows
+        frame = pd.DataFrame(names[rows].reshape(-1, 6)[:, :5], columns=["ah", "ag", "bh", "bg", "c"])
+        frame.insert(0, "long", wide)
+        out.append(frame)
+    return pd.concat(out, ignore_index=True)
+
+
+def _meeting(run: int):
+    return lambda pdf: met(pdf, run)
+
+
+def _sets(kind: str):
+    """(id, to, text) -> (id, to, u): u is the text's set."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"a": pdf["a"], "to": pdf["to"], "u": [s.tobytes() for s in shingle_sets(list(pdf["text"]))]})
+
+    return run, f"a {kind}, to {{to}}, u binary"
+
+
+def _verified(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows with u are sets, the others pairs (a, b): those that link, less those that others of them imply."""
+    sets: dict = {}
+    own = pdf["u"].notna()
+    for a, u in zip(pdf["a"][own], pdf["u"][own], strict=True):
+        sets.setdefault(a, []).append(np.frombuffer(u, np.uint64))
+    up: dict = {a: a for a in sets}
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for a, b in zip(pdf["a"][~own], pdf["b"][~own], strict=True):
+        x, y = find(a), find(b)
+        if x != y and any(linked(s, t) for s in sets[a] for t in sets[b]):
+            up[x] = y
+            out.append((a, b))
+    return pd.DataFrame(out, columns=["a", "b"])
 
 
 def _compared(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -350,8 +412,8 @@ def _compared(pdf: pd.DataFrame) -> pd.DataFrame:
     Intersections are counted over an inverted index of the block, so a set costs the places of its elements and no pair is
     written down. With two cuts in the block, only pairs across them are compared.
     """
-    pdf = pdf.sort_values(["side", "h"], kind="stable")
-    h, side = pdf["h"].to_numpy(np.int64), pdf["side"].to_numpy()
+    pdf = pdf.sort_values(["side", "a"], kind="stable")
+    h, side = pdf["a"].to_numpy(), pdf["side"].to_numpy()
     sets = [np.frombuffer(u, np.uint64) for u in pdf["u"]]
     size = np.array([len(u) for u in sets])
     across = pdf["i"].iloc[0] != pdf["j"].iloc[0]
@@ -373,25 +435,53 @@ def _compared(pdf: pd.DataFrame) -> pd.DataFrame:
             if label[j] != label[i]:
                 label[label == label[j]] = label[i]
                 out.append((h[i], h[j]))
-    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+    return pd.DataFrame(out, columns=["a", "b"])
 
 
-def _clumps(stars: DataFrame, held: Held, block: int = 1500) -> DataFrame:
-    """(h, clump, cuts) of the sets that share a signature: runs that share sets form a clump, so each such pair lies in one.
+def _fetched(docs: DataFrame, asked: DataFrame, held: Held, kind: str, to: str) -> DataFrame:
+    """(a, to, u): the sets of the asked documents (a, to). Texts are joined to a broadcast where the ids are few."""
+    asked = held.put(asked, "asked")
+    few = asked.count() <= BROADCAST_IDS
+    run, shape = _sets(kind)
+    found = docs.join(F.broadcast(asked) if few else asked, F.col("doc_id") == F.col("a"))
+    return found.select("a", "to", "text").mapInPandas(run, shape.format(to=to))
+
 
-    A clump of more than `block` sets is cut, and compared in blocks of two cuts.
+def _pairs(docs: DataFrame, pairs: DataFrame, held: Held, kind: str) -> DataFrame:
+    """The linked ones of candidate pairs (a, b, c, bytes), verified around the set c in which they met.
+
+    Pairs are dealt to tasks by c, and those of a c with more than TASK_BYTES of sets in chunks; a set goes once to each task
+    that has a pair of it.
+    """
+    sizes = held.put(pairs.groupBy("c").agg(F.expr(f"cast(sum(bytes) div {TASK_BYTES} + 1 as int)").alias("chunks"), F.sum("bytes").alias("all")), "sizes")
+    total = sizes.agg(F.sum("all")).first()[0] or 0
+    buckets = max(1, total // TASK_BYTES)
+    where = F.when(F.col("chunks") > 1, F.xxhash64("c", F.pmod(F.xxhash64("a", "b"), F.col("chunks")))).otherwise(F.pmod(F.xxhash64("c"), F.lit(buckets)))
+    pairs = held.put(pairs.join(sizes.select(F.col("c").alias("_c"), "chunks"), F.col("c") == F.col("_c")).select(where.alias("to"), "a", "b"), "pairs")
+    asked = pairs.select("to", F.explode(F.array("a", "b")).alias("a")).distinct()
+    asked = asked.groupBy("a").agg(F.collect_list("to").alias("to"))
+    sets = _fetched(docs, asked, held, kind, "array<bigint>").select("a", F.explode("to").alias("to"), "u")
+    rows = sets.select("to", "a", F.lit(None).cast(kind).alias("b"), "u").unionByName(pairs.select("to", "a", "b", F.lit(None).cast("binary").alias("u")))
+    return rows.groupBy("to").applyInPandas(_verified, f"a {kind}, b {kind}")
+
+
+def _clumps(stars: DataFrame, held: Held) -> DataFrame:
+    """(a, clump, cuts) of the sets (a, b, size of each) in long runs: runs that share sets form a clump.
+
+    A clump of more than TASK_BYTES of sets is cut by them, and compared in blocks of two cuts.
     """
-    clumps = held.put(components(stars, held), "clumps").withColumnsRenamed({"node": "h", "comp": "clump"})
-    cuts = clumps.groupBy("clump").agg(F.expr(f"(count(1) + {block - 1}) div {block}").cast("int").alias("cuts"))
-    return clumps.join(cuts, "clump")
+    size = stars.select("a", F.col("na").alias("n")).unionByName(stars.select(F.col("b").alias("a"), F.col("nb").alias("n"))).distinct()
+    clumps = held.put(components(stars.select("a", "b"), held).join(size, F.col("node") == F.col("a")).select("a", "n", F.col("comp").alias("clump")), "clumps")
+    cuts = clumps.groupBy(F.col("clump").alias("_clump")).agg(F.expr(f"cast(sum(8 * n) div {TASK_BYTES // 2} + 1 as int)").alias("cuts"))
+    return held.put(clumps.join(cuts, F.col("clump") == F.col("_clump")).select("a", "clump", "cuts"), "cuts")
 
 
-def _search(sets: DataFrame, held: Held) -> DataFrame:
-    """(node, comp) of the linked sets of (clump, cuts, h, u); a set is shuffled once for each block that it is in."""
-    at = sets.withColumn("cut", F.pmod(F.xxhash64("h"), F.col("cuts")).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    at = at.select("clump", "h", "u", F.least("cut", "t").alias("i"), F.greatest("cut", "t").alias("j"), (F.col("cut") > F.col("t")).cast("int").alias("side"))
-    edges = held.put(at.groupBy("clump", "i", "j").applyInPandas(_compared, "a long, b long"), "edges")
-    return held.put(components(edges, held), "components")
+def _search(docs: DataFrame, clumps: DataFrame, held: Held, kind: str) -> DataFrame:
+    """Links in clumps; a set is shuffled once for each block that it is in."""
+    sets = _fetched(docs, clumps.select("a", F.struct("clump", "cuts").alias("to")), held, kind, f"struct<clump: {kind}, cuts: int>")
+    at = sets.select("a", "u", "to.clump", "to.cuts").withColumn("cut", F.pmod(F.xxhash64("a"), F.col("cuts")).cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    at = at.select("clump", "a", "u", F.least("cut", "t").alias("i"), F.greatest("cut", "t").alias("j"), (F.col("cut") > F.col("t")).cast("int").alias("side"))
+    return at.groupBy("clump", "i", "j").applyInPandas(_compared, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, held: Held | None = None) -> DataFrame:
@@ -401,37 +491,79 @@ def near_duplicates(docs: DataFrame, held: Held | None = None) -> DataFrame:
     words, the whole sequence as one; without words or text it is empty and links with nothing. Documents link when
     100 * intersection >= 75 * union; sets are compared by 64-bit shingle hashes.
 
-    Equal sets are one class, found by a 64-bit hash of the set, so copies cost nothing but their row. Sets that share a
-    signature form a run, runs that share sets a clump. No pairs are written down: the sets of a clump are compared in
-    memory, block by block, so components are exact and links in a dense group of near copies cost no rows. Rows of a null doc_id link with
-    nothing and have a null component; repeated rows are copies; empty tables give empty results; other columns are ignored.
-    Only the texts of sets that met others are read again; texts are never shuffled.
+    Equal sets are one class, found by two 64-bit hashes of the set and named after its smallest doc_id, so copies cost
+    nothing but their row. Sets that share a signature in runs of up to 32 are candidate pairs: each pair is verified and
+    only then joins components, so sets that meet by chance cost one comparison and chain to nothing. Longer runs (many
+    near copies, or texts made of common passages) are compared in blocks over an inverted index, without a row a pair. So
+    components are exact, and links in a dense group of near copies cost no rows. Only the texts of sets that met others
+    are read again; texts are never shuffled unless over a million are asked for.
+
+    Rows of a null doc_id link with nothing and have a null component; repeated rows are copies; of rows that share a doc_id
+    but not a text, each takes part with its own text, as one node where that id names both; ties go to the smallest
+    doc_id; empty tables give empty results; other columns are ignored.
     """
     held = held or Held(docs.sparkSession, "jaccard")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    bits = max(4, min(14, (input_bytes(docs) >> 24).bit_length()))
     docs = docs.select("doc_id", "text")
     both = held.put(docs.mapInPandas(_described("doc_id"), f"doc_id {kind}, n long, h long, g long, block int, counts binary"), "described")
     described = both.filter("block < 0").select("doc_id", "n", "h", "g")
-    heavy = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent(both.filter("block >= 0").select("block", "counts"))).tobytes())
-    blobs = docs.filter("doc_id is not null").mapInPandas(_packed(bits, heavy), "part int, ids binary, sizes binary, counts binary, sigs binary")
-    stars = held.put(blobs.repartition(1 << bits, "part").groupBy("part").applyInPandas(_met, "a long, b long").distinct(), "stars")
+    heavy = docs.sparkSession.sparkContext.broadcast(frequent(both.filter("block >= 0").select("block", "counts"), held))
+    parts = max(4, (described.agg(F.sum("n")).first()[0] or 0) // PART)
+    blobs = docs.filter("doc_id is not null").mapInPandas(_packed(parts, heavy), "part int, ids binary, sizes binary, counts binary, low binary, high binary")
+    seen = blobs.repartition(max(4, parts // 4), "part").groupBy("part").applyInPandas(_meeting(RUN), MET)
+    seen = held.put(seen.groupBy("long", "ah", "ag", "bh", "bg").agg(F.min("c").alias("c")), "met")
+    heavy.unpersist()
+
     known = described.filter("n > 0 and doc_id is not null")
-    names = known.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
-    asked = names.join(_clumps(stars, held), "h").select(F.col("doc_id").alias("_id"), "clump", "cuts").distinct()
-    asked = held.put(asked, "asked")
-    if asked.count() <= BROADCAST_IDS:
-        asked = F.broadcast(asked)
-    sets = docs.join(asked, F.col("doc_id") == F.col("_id")).select("text", "clump", "cuts").mapInPandas(_sets, "clump long, cuts int, h long, u binary")
-    comps = _search(sets, held)
-    named = known.join(comps, F.col("h") == F.col("node"), "left").select("doc_id", "n", F.coalesce("comp", "h").alias("c"))
-    least = named.groupBy("c").agg(F.min("doc_id").alias("low"))
-    out = named.join(least, "c").select("doc_id", F.col("n").alias("n_shingles"), F.col("low").alias("component_id"))
+    classes = held.put(known.groupBy("h", "g").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count(F.lit(1)).alias("rows")), "classes")
+    asked = seen.select(F.explode(F.array(F.struct(F.col("ah").alias("h"), F.col("ag").alias("g")), F.struct(F.col("bh").alias("h"), F.col("bg").alias("g")))).alias("x"))
+    names = held.put(asked.select(F.col("x.h").alias("_h"), F.col("x.g").alias("_g")).distinct().join(classes, (F.col("_h") == F.col("h")) & (F.col("_g") == F.col("g"))).select("_h", "_g", "rep", "n"), "names")
+    seen = held.put(_renamed(_renamed(seen, names, "a"), names, "b"), "named")
+    near = seen.filter("not long and a <> b").select("a", "b", "c", ((F.col("na") + F.col("nb")) * 8).alias("bytes"))
+    stars = seen.filter("long")
+    edges = None
+    if not stars.isEmpty():
+        clumps = _clumps(stars, held)
+        inside = clumps.select(F.col("a").alias("_a"), F.col("clump").alias("_one")), clumps.select(F.col("a").alias("_b"), F.col("clump").alias("_two"))
+        near = near.join(inside[0], F.col("a") == F.col("_a"), "left").join(inside[1], F.col("b") == F.col("_b"), "left").filter("_one is null or _two is null or _one <> _two").select("a", "b", "c", "bytes")
+        edges = held.put(_search(docs, clumps, held, kind), "inside")
+    near = held.put(_pairs(docs, held.put(near, "near"), held, kind), "linked")
+    edges = near if edges is None else near.unionByName(edges)
+    comps = held.put(components(edges, held), "components")
+
+    low = classes.join(comps, F.col("rep") == F.col("node"), "left").filter("rows > 1 or comp is not null")
+    low = held.put(low.select(F.col("h").alias("_h"), F.col("g").alias("_g"), F.coalesce("comp", "rep").alias("low"), "rows"), "low")
+    held.drop(seen, names, near, classes)
+    on = (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g"))
+    if low.count() <= BROADCAST_IDS // 4:
+        named = known.join(F.broadcast(low), on, "left")
+    else:  # a class of many copies is joined without a shuffle on its key; at most one row in 100,000 is of such a class
+        hot = low.filter("rows > 100000")
+        named = known.join(F.broadcast(hot), on).unionByName(known.join(F.broadcast(hot), on, "left_anti").join(low.filter("rows <= 100000"), on, "left"))
+    out = named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
     return out.unionByName(described.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def _renamed(seen: DataFrame, names: DataFrame, side: str) -> DataFrame:
+    """seen with a set's two hashes (side h, side g) replaced by its class's name (side) and size (n side)."""
+    one = names.select(F.col("_h").alias(f"_{side}h"), F.col("_g").alias(f"_{side}g"), F.col("rep").alias(side), F.col("n").alias(f"n{side}"))
+    return seen.join(one, (F.col(f"{side}h") == F.col(f"_{side}h")) & (F.col(f"{side}g") == F.col(f"_{side}g"))).drop(f"{side}h", f"{side}g", f"_{side}h", f"_{side}g")
+
+
 def one_each(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the smallest doc_id, with all its columns; rows of a null doc_id stay."""
+    """One row of each component, of the document with the smallest doc_id, with all its columns.
+
+    Of rows that repeat that doc_id, one stays, the smallest by its columns' hash. Rows of a null doc_id stay; so do
+    documents without words, once for each doc_id. An empty table gives an empty result.
+    """
     held = Held(docs.sparkSession, "jaccard")
-    extra = near_duplicates(docs, held=held).filter("doc_id <> component_id").select("doc_id").distinct()
-    return by_ids(docs, held.put(extra, "extra"), "left_anti")
+    rows = held.put(near_duplicates(docs, held=held), "rows")
+    extra = held.put(rows.filter("doc_id <> component_id").select("doc_id").distinct(), "extra")
+    left = by_ids(docs, extra, "left_anti")
+    twice = held.put(rows.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
+    if twice.isEmpty():
+        return left
+    names = list(docs.columns)
+    keep = by_ids(left, twice, "left_anti")
+    again = by_ids(left, twice, "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("_row"))
+    return keep.unionByName(again.select("_row.*"))

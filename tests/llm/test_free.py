@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -356,32 +357,63 @@ def test_components(spark):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == {(d, size[d], comp[d]) for d in comp}
     assert len(set(comp.values())) < len(comp) - 60
     kept = jaccard.one_each(table_)
-    assert kept.columns == table_.columns and {r.doc_id for r in kept.collect()} == set(comp.values()) | {None}
+    assert kept.columns == table_.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(comp.values()))
+    assert sum(r.doc_id is None for r in kept.collect()) == 1  # and of rows that repeat a doc_id one stays
     assert jaccard.near_duplicates(table_.limit(0)).count() == 0
 
 
+def test_components_with_long_runs(spark, monkeypatch):
+    """Clumps and pairs together: runs of more than two sets are compared in blocks, in small tasks."""
+    rows = texts()
+    monkeypatch.setattr(jaccard, "TASK_BYTES", 4000)
+    monkeypatch.setattr(jaccard, "RUN", 2)
+    comp, size = brute_components(rows)
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(d, size[d], comp[d]) for d in comp}
+
+
 def test_blocks_of_a_clump():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, rng.integers(3, 40), dtype=np.uint64)) for _ in range(60)]
     sets += [np.unique(np.concatenate([s[:-1], [99]]).astype(np.uint64)) for s in sets[:30]]
-    import pandas as pd
-
-    pdf = pd.DataFrame({"clump": 1, "h": np.arange(len(sets)), "u": [s.tobytes() for s in sets], "i": 0, "j": 0, "side": 0})
-    got = jaccard._compared(pdf)
+    pdf = pd.DataFrame({"clump": 1, "a": np.arange(len(sets)), "u": [s.tobytes() for s in sets], "i": 0, "j": 0, "side": 0})
     pairs = {(a, b) for a in range(len(sets)) for b in range(a) if jaccard.linked(sets[a], sets[b])}
-    assert {(max(p), min(p)) for p in got.itertuples(index=False, name=None)} <= pairs
-    links, want = {}, {}
-    for a, b in got.itertuples(index=False, name=None):
-        links.setdefault(a, []).append(b)
-        links.setdefault(b, []).append(a)
+    every = pd.DataFrame([(a, b) for a in range(len(sets)) for b in range(a)], columns=["a", "b"]).assign(u=None)
+    want = {}
     for a, b in pairs:
         want.setdefault(a, []).append(b)
         want.setdefault(b, []).append(a)
-    assert reach(links, range(len(sets))) == reach(want, range(len(sets)))
-    half = pdf.assign(i=0, j=1, side=(pdf["h"] % 2).astype(int))
+    for got in (jaccard._compared(pdf), jaccard._verified(pd.concat([pdf[["a", "u"]], every], ignore_index=True))):
+        links = {}
+        assert {(max(p), min(p)) for p in got.itertuples(index=False, name=None)} <= pairs
+        for a, b in got.itertuples(index=False, name=None):
+            links.setdefault(a, []).append(b)
+            links.setdefault(b, []).append(a)
+        assert reach(links, range(len(sets))) == reach(want, range(len(sets)))
+    half = pdf.assign(i=0, j=1, side=(pdf["a"] % 2).astype(int))
     assert all((a - b) % 2 for a, b in jaccard._compared(half).itertuples(index=False, name=None))
 
 
+def test_meetings_grow_with_the_corpus_not_its_square():
+    """Pairs that share a signature, of unrelated texts over one vocabulary, for three sizes of corpus; a planted pair each."""
+    rng = np.random.default_rng(1)
+    vocabulary = (rng.pareto(1.1, 60_000) * 40).astype(np.int64)
+    heavy = np.zeros(1 << jaccard.SKETCH_BITS, bool)
+    met = []
+    for n in (150, 600, 2400):
+        words = [[f"w{w}" for w in rng.choice(vocabulary, 120)] for _ in range(n)]
+        words.append(words[0][:-2] + ["x"])
+        blobs = []
+        broadcast = type("B", (), {"value": np.packbits(heavy).tobytes()})
+        for lo in range(0, len(words), 500):
+            batch = pd.DataFrame({"text": [" ".join(w) for w in words[lo : lo + 500]]})
+            blobs += list(jaccard._packed(4, broadcast, 20_000)([batch]))
+        pairs = pd.concat([jaccard.met(p) for _, p in pd.concat(blobs).groupby("part")])
+        met.append(len(pairs.drop_duplicates(["ah", "ag", "bh", "bg"])))
+        assert met[-1] >= 1 and not pairs["long"].any()
+    assert met[2] <= 4 * met[1] + 8 and met[2] < 2400  # far below the 2.9 million pairs
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_linked_sets_share_a_signature(seed):
     rng = np.random.default_rng(seed)
