@@ -38,7 +38,8 @@ SHINGLE = 5
 SKETCH_BITS = 22
 PART = 1_250_000  # shingles of the corpus for each part of the signatures' space
 RUN = 32  # sets that share a signature, up to which they are compared as pairs
-TASK_BYTES = 16 << 20  # of sets that a Python worker compares at once
+PAIR_BYTES = 2 << 20  # of sets that a Python worker gets at once to verify pairs
+CUT_BYTES = 8 << 20  # of sets in a cut of a clump
 STEP = 0x9E3779B97F4A7C15  # odd; powers of it place bytes in a word's hash
 _MASK = (1 << 64) - 1
 
@@ -278,74 +279,63 @@ def frequent(counters: DataFrame, held: Held) -> bytes:
 
 
 def _packed(parts: int, heavy, most: int = 1_000_000):
-    """Texts -> a blob for each part of the signatures' space: set ids, sizes, numbers of signatures and 40 of their bits.
+    """Texts -> a blob for each part of the signatures' space: 40 bits of each signature, and the first hash of its set.
 
     The part comes from a signature's high bits. Parts grow in number with the input, without end, so the chance that two
     signatures of a part have equal bits stays the same, about one in 2**40 for each, and costs one comparison. A blob has
-    arrays of numbers instead of a row a signature, so a signature is shuffled in little more than five bytes.
+    arrays of numbers instead of a row a signature, so a signature is shuffled in 13 bytes, whatever the number of parts.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def flush():
             sig = np.concatenate(sigs)
-            doc = np.repeat(np.arange(len(sigs), dtype=np.int32), [len(x) for x in sigs])
             part = ((sig >> U(32)) * U(parts)) >> U(32)
             order = np.argsort(part, kind="stable")
-            sig, doc, part = sig[order], doc[order], part[order]
-            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+            name = np.repeat(np.array(ids, np.int64), [len(x) for x in sigs])[order]
+            sig, part = sig[order], part[order]
             low, high = sig.astype(np.uint32), (sig >> U(32)).astype(np.uint8)
-            names, size = np.array(ids, np.int64), np.array(sizes, np.int32)
-            rows = []
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                d, k = np.unique(doc[lo:hi], return_counts=True)
-                rows.append((int(part[lo]), names[d].tobytes(), size[d].tobytes(), k.astype(np.int32).tobytes(), low[lo:hi].tobytes(), high[lo:hi].tobytes()))
-            return pd.DataFrame(rows, columns=["part", "ids", "sizes", "counts", "low", "high"])
+            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+            rows = [(int(part[lo]), name[lo:hi].tobytes(), low[lo:hi].tobytes(), high[lo:hi].tobytes()) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+            return pd.DataFrame(rows, columns=["part", "ids", "low", "high"])
 
         frequent_ = np.unpackbits(np.frombuffer(heavy.value, np.uint8)).astype(bool)
-        seen: set[tuple[int, int]] = set()
-        sigs, ids, sizes, total = [], [], [], 0
+        seen: set[int] = set()
+        sigs, ids, total = [], [], 0
         for pdf in batches:
             for s in shingle_sets(list(pdf["text"])):
-                if not len(s) or (name := identity(s)) in seen:
+                if not len(s) or (name := identity(s)[0]) in seen:
                     continue  # a copy in the same batch of texts signs once
                 seen.add(name)
                 sigs.append(np.unique(signatures(s, frequent_)))
                 ids.append(name)
-                sizes.append(len(s))
                 total += len(sigs[-1])
                 if total >= most:
                     yield flush()
-                    sigs, ids, sizes, total, seen = [], [], [], 0, set()
+                    sigs, ids, total, seen = [], [], 0, set()
         if sigs:
             yield flush()
 
     return run
 
 
-#: One set and another that shares a signature with it, each by its two hashes, and the first hash of the first set of their run.
-MET = "long boolean, ah long, ag long, bh long, bg long, c long"
+#: The first hashes of two sets that share a signature, and that of the first set of their run.
+MET = "long boolean, ah long, bh long, c long"
 
 
 def met(pdf: pd.DataFrame, run: int = RUN) -> pd.DataFrame:
-    """The pairs of sets of a part that share a signature and whose sizes allow a link, each once.
+    """The pairs of sets of a part that share a signature, each once.
 
     Of runs with more sets than `run`, each set with the run's first one (long), so rows grow with the signatures only.
     """
-    ids = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]]).reshape(-1, 2)
-    sizes, counts = (np.concatenate([np.frombuffer(x, np.int32) for x in pdf[c]]) for c in ("sizes", "counts"))
+    names, node = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]]), return_inverse=True)
+    node = node.astype(np.int32)
     key = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["low"]]).astype(np.uint64)
     key |= np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["high"]]).astype(np.uint64) << U(32)
-    order = np.lexsort((ids[:, 1], ids[:, 0]))
-    fresh = np.concatenate([[True], (ids[order[1:]] != ids[order[:-1]]).any(1)])
-    first = order[fresh]  # a set that several batches of texts signed counts once
-    node = np.full(len(ids), -1, np.int32)
-    node[first] = np.arange(len(first), dtype=np.int32)
-    node = np.repeat(node, counts)
-    names, size = ids[first], sizes[first].astype(np.int64)
-    key, node = key[node >= 0], node[node >= 0]
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])  # several batches may have signed a set
+    key, node = key[fresh], node[fresh]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     length = np.diff(np.append(starts, len(key)))
     found, stars = [np.zeros((0, 3), np.int64)], [np.zeros((0, 3), np.int64)]
     for n in np.unique(length[length > 1]):
@@ -356,14 +346,12 @@ def met(pdf: pd.DataFrame, run: int = RUN) -> pd.DataFrame:
             continue
         member = node[runs[:, None] + np.arange(n)].astype(np.int64)
         i, j = np.triu_indices(n, 1)
-        a, b, c = member[:, i].ravel(), member[:, j].ravel(), np.repeat(member[:, 0], len(i))
-        fits = 4 * np.minimum(size[a], size[b]) >= 3 * np.maximum(size[a], size[b])
-        found.append(np.stack([a, b, c], 1)[fits])
+        found.append(np.stack([member[:, i].ravel(), member[:, j].ravel(), np.repeat(member[:, 0], len(i))], 1))
     out = []
     for wide, rows in ((False, np.concatenate(found)), (True, np.concatenate(stars))):
         rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
         rows = rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)])] if len(rows) else rows
-        frame = pd.DataFrame(names[rows].reshape(-1, 6)[:, :5], columns=["ah", "ag", "bh", "bg", "c"])
+        frame = pd.DataFrame(names[rows].reshape(-1, 3), columns=["ah", "bh", "c"])
         frame.insert(0, "long", wide)
         out.append(frame)
     return pd.concat(out, ignore_index=True)
@@ -450,12 +438,12 @@ def _fetched(docs: DataFrame, asked: DataFrame, held: Held, kind: str, to: str)
 def _pairs(docs: DataFrame, pairs: DataFrame, held: Held, kind: str) -> DataFrame:
     """The linked ones of candidate pairs (a, b, c, bytes), verified around the set c in which they met.
 
-    Pairs are dealt to tasks by c, and those of a c with more than TASK_BYTES of sets in chunks; a set goes once to each task
+    Pairs are dealt to tasks by c, and those of a c with more than PAIR_BYTES of sets in chunks; a set goes once to each task
     that has a pair of it.
     """
-    sizes = held.put(pairs.groupBy("c").agg(F.expr(f"cast(sum(bytes) div {TASK_BYTES} + 1 as int)").alias("chunks"), F.sum("bytes").alias("all")), "sizes")
+    sizes = held.put(pairs.groupBy("c").agg(F.expr(f"cast(sum(bytes) div {PAIR_BYTES} + 1 as int)").alias("chunks"), F.sum("bytes").alias("all")), "sizes")
     total = sizes.agg(F.sum("all")).first()[0] or 0
-    buckets = max(1, total // TASK_BYTES)
+    buckets = max(1, total // PAIR_BYTES)
     where = F.when(F.col("chunks") > 1, F.xxhash64("c", F.pmod(F.xxhash64("a", "b"), F.col("chunks")))).otherwise(F.pmod(F.xxhash64("c"), F.lit(buckets)))
     pairs = held.put(pairs.join(sizes.select(F.col("c").alias("_c"), "chunks"), F.col("c") == F.col("_c")).select(where.alias("to"), "a", "b"), "pairs")
     asked = pairs.select("to", F.explode(F.array("a", "b")).alias("a")).distinct()
@@ -468,11 +456,11 @@ def _pairs(docs: DataFrame, pairs: DataFrame, held: Held, kind: str) -> DataFram
 def _clumps(stars: DataFrame, held: Held) -> DataFrame:
     """(a, clump, cuts) of the sets (a, b, size of each) in long runs: runs that share sets form a clump.
 
-    A clump of more than TASK_BYTES of sets is cut by them, and compared in blocks of two cuts.
+    A clump of more than CUT_BYTES of sets is cut by them, and compared in blocks of two cuts.
     """
     size = stars.select("a", F.col("na").alias("n")).unionByName(stars.select(F.col("b").alias("a"), F.col("nb").alias("n"))).distinct()
     clumps = held.put(components(stars.select("a", "b"), held).join(size, F.col("node") == F.col("a")).select("a", "n", F.col("comp").alias("clump")), "clumps")
-    cuts = clumps.groupBy(F.col("clump").alias("_clump")).agg(F.expr(f"cast(sum(8 * n) div {TASK_BYTES // 2} + 1 as int)").alias("cuts"))
+    cuts = clumps.groupBy(F.col("clump").alias("_clump")).agg(F.expr(f"cast(sum(8 * n) div {CUT_BYTES} + 1 as int)").alias("cuts"))
     return held.put(clumps.join(cuts, F.col("clump") == F.col("_clump")).select("a", "clump", "cuts"), "cuts")
 
 
@@ -509,17 +497,19 @@ def near_duplicates(docs: DataFrame, held: Held | None = None) -> DataFrame:
     described = both.filter("block < 0").select("doc_id", "n", "h", "g")
     heavy = docs.sparkSession.sparkContext.broadcast(frequent(both.filter("block >= 0").select("block", "counts"), held))
     parts = max(4, (described.agg(F.sum("n")).first()[0] or 0) // PART)
-    blobs = docs.filter("doc_id is not null").mapInPandas(_packed(parts, heavy), "part int, ids binary, sizes binary, counts binary, low binary, high binary")
+    blobs = docs.filter("doc_id is not null").mapInPandas(_packed(parts, heavy), "part int, ids binary, low binary, high binary")
     seen = blobs.repartition(max(4, parts // 4), "part").groupBy("part").applyInPandas(_meeting(RUN), MET)
-    seen = held.put(seen.groupBy("long", "ah", "ag", "bh", "bg").agg(F.min("c").alias("c")), "met")
+    seen = held.put(seen.groupBy("long", "ah", "bh").agg(F.min("c").alias("c")), "met")
     heavy.unpersist()
 
     known = described.filter("n > 0 and doc_id is not null")
     classes = held.put(known.groupBy("h", "g").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count(F.lit(1)).alias("rows")), "classes")
-    asked = seen.select(F.explode(F.array(F.struct(F.col("ah").alias("h"), F.col("ag").alias("g")), F.struct(F.col("bh").alias("h"), F.col("bg").alias("g")))).alias("x"))
-    names = held.put(asked.select(F.col("x.h").alias("_h"), F.col("x.g").alias("_g")).distinct().join(classes, (F.col("_h") == F.col("h")) & (F.col("_g") == F.col("g"))).select("_h", "_g", "rep", "n"), "names")
-    seen = held.put(_renamed(_renamed(seen, names, "a"), names, "b"), "named")
-    near = seen.filter("not long and a <> b").select("a", "b", "c", ((F.col("na") + F.col("nb")) * 8).alias("bytes"))
+    shared = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.lit(False), "h", "h", "h")  # different sets of one first hash
+    seen = held.put(seen.unionByName(shared.toDF("long", "ah", "bh", "c")), "met")
+    asked = seen.select(F.explode(F.array("ah", "bh")).alias("_h")).distinct()
+    names = held.put(asked.join(classes, F.col("_h") == F.col("h")).select("_h", "rep", "n"), "names")
+    seen = held.put(_renamed(_renamed(seen, names, "a"), names, "b").filter("a <> b and 4 * least(na, nb) >= 3 * greatest(na, nb) or long"), "named")
+    near = seen.filter("not long").select("a", "b", "c", ((F.col("na") + F.col("nb")) * 8).alias("bytes"))
     stars = seen.filter("long")
     edges = None
     if not stars.isEmpty():
@@ -545,9 +535,9 @@ def near_duplicates(docs: DataFrame, held: Held | None = None) -> DataFrame:
 
 
 def _renamed(seen: DataFrame, names: DataFrame, side: str) -> DataFrame:
-    """seen with a set's two hashes (side h, side g) replaced by its class's name (side) and size (n side)."""
-    one = names.select(F.col("_h").alias(f"_{side}h"), F.col("_g").alias(f"_{side}g"), F.col("rep").alias(side), F.col("n").alias(f"n{side}"))
-    return seen.join(one, (F.col(f"{side}h") == F.col(f"_{side}h")) & (F.col(f"{side}g") == F.col(f"_{side}g"))).drop(f"{side}h", f"{side}g", f"_{side}h", f"_{side}g")
+    """seen with the first hash of a set (side h) replaced by its class's name (side) and size (n side)."""
+    one = names.select(F.col("_h").alias(f"_{side}h"), F.col("rep").alias(side), F.col("n").alias(f"n{side}"))
+    return seen.join(one, F.col(f"{side}h") == F.col(f"_{side}h")).drop(f"{side}h", f"_{side}h")
 
 
 def one_each(docs: DataFrame) -> DataFrame:
