@@ -498,7 +498,7 @@ def near_duplicates(docs: DataFrame, held: Held | None = None) -> DataFrame:
     heavy = docs.sparkSession.sparkContext.broadcast(frequent(both.filter("block >= 0").select("block", "counts"), held))
     parts = max(4, (described.agg(F.sum("n")).first()[0] or 0) // PART)
     blobs = docs.filter("doc_id is not null").mapInPandas(_packed(parts, heavy), "part int, ids binary, low binary, high binary")
-    seen = blobs.repartition(max(4, parts // 4), "part").groupBy("part").applyInPandas(_meeting(RUN), MET)
+    seen = blobs.repartition(parts, "part").groupBy("part").applyInPandas(_meeting(RUN), MET)
     seen = held.put(seen.groupBy("long", "ah", "bh").agg(F.min("c").alias("c")), "met")
     heavy.unpersist()
 
