@@ -141,18 +141,16 @@ mixed AS (
 OP2_SQL = f"WITH {mix_sql('documents')}\nSELECT *, epochs + partial AS copies FROM mixed"
 
 _tokens = lambda t: f"list_filter(regexp_split_to_array(lower(coalesce({t}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
-_seeds = lambda rel, cols: " UNION ALL ".join(
-    f"SELECT {cols}, p, {i} AS mask, concat_ws('|', {', '.join(f't[p + {o + 1}]' for o in m)}) AS seed FROM (SELECT *, unnest(range(len(t) - {m[-1]})) AS p FROM {rel})" for i, m in enumerate(decontam.MASKS)
-)
 
-#: For items longer than every mask; shorter ones take another mask in the operator.
+#: From the definition: every offset at which enough words of an item and a document are equal, not only those that seeds hit.
 OP6_SQL = f"""
 WITH d AS (SELECT doc_id, {_tokens("text")} AS t FROM documents), b AS (SELECT item_id, {_tokens("text")} AS t FROM benchmark),
-ds AS ({_seeds("d", "doc_id")}), bs AS ({_seeds("b", "item_id")}),
-hits AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS off FROM ds JOIN bs USING (mask, seed)),
+dw AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS p FROM d),
+bw AS (SELECT item_id, unnest(t) AS w, generate_subscripts(t, 1) AS p FROM b WHERE len(t) >= 5),
+near AS (SELECT doc_id, item_id, dw.p - bw.p AS off FROM dw JOIN bw USING (w) GROUP BY ALL HAVING count(*) >= 5),
 laid AS (
   SELECT doc_id, item_id, off, len(b.t) AS n, least(12, len(b.t)) AS w, list_transform(range(len(b.t)), lambda i: CASE WHEN i + off >= 0 AND d.t[i + off + 1] = b.t[i + 1] THEN 1 ELSE 0 END) AS same
-  FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),
+  FROM near JOIN d USING (doc_id) JOIN b USING (item_id)),
 runs AS (SELECT *, list_sum(same) AS matched, list_max(list_transform(range(n - w + 1), lambda s: list_sum(same[s + 1 : s + w]))) AS best FROM laid),
 top AS (SELECT doc_id, item_id, n, max({{matched: matched, best: best, off: -off}}) AS m FROM runs WHERE best >= greatest(ceil(w * 0.75), least(6, n)) GROUP BY ALL)
 SELECT doc_id, item_id, CAST(m.matched AS INTEGER) AS matched, CAST(n AS INTEGER) AS item_words, CAST(m.best AS INTEGER) AS best, CAST(-m.off AS INTEGER) AS at FROM top
