@@ -54,21 +54,20 @@ def fill(nodes: DataFrame, parent: list[str], child: str, budget: str, weight: s
 def budgets(leaves: DataFrame, total: Column, weights: Mapping[str, int], most_epochs: int) -> DataFrame:
     """leaves (domain, lang, source, tokens) -> with given: the tokens that each leaf is to yield.
 
-    A node's cap is most_epochs times the tokens below it, so a shortage is made up by siblings first; only where a whole
-    subtree is short does the node above hand its part to the subtree's siblings.
+    A leaf's cap is most_epochs times its tokens; a node's cap is the sum of its children's, of those that weigh more than 0,
+    since the others can be given nothing. So a shortage is made up by siblings first; only where a whole subtree is short
+    does the node above hand its part to the subtree's siblings.
     """
-    leaves = leaves.withColumn("cap", F.col("tokens") * most_epochs)
-    domains = leaves.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
+    weigh = lambda *path: _lookup(weights, F.concat_ws("/", *path), 1).cast("long")
+    can = F.sum(F.when(F.col("w") > 0, F.col("cap")).otherwise(0)).cast("long").alias("cap")
+    leaves = leaves.withColumns({"cap": F.col("tokens") * most_epochs, "w": weigh("domain", "lang", "source")})
+    langs = leaves.groupBy("domain", "lang").agg(can, F.sum("tokens").alias("tokens")).withColumn("w", weigh("domain", "lang"))
+    domains = langs.groupBy("domain").agg(can, F.sum("tokens").alias("tokens")).withColumn("w", weigh("domain"))
     everything = Window.partitionBy(F.lit(0))
-    domains = domains.withColumns({"w": _lookup(weights, F.col("domain"), 1).cast("long"), "budget": F.sum("tokens").over(everything)})
-    domains = domains.withColumn("budget", total)
+    domains = domains.withColumn("budget", F.sum("tokens").over(everything)).withColumn("budget", total)
     domains = fill(domains, [], "domain", "budget", "w", "cap").select("domain", F.col("given").alias("budget"))
-    langs = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).join(domains, "domain")
-    langs = langs.withColumn("w", _lookup(weights, F.concat_ws("/", "domain", "lang"), 1).cast("long"))
-    langs = fill(langs, ["domain"], "lang", "budget", "w", "cap").select("domain", "lang", F.col("given").alias("budget"))
-    out = leaves.join(langs, ["domain", "lang"])
-    out = out.withColumn("w", _lookup(weights, F.concat_ws("/", "domain", "lang", "source"), 1).cast("long"))
-    return fill(out, ["domain", "lang"], "source", "budget", "w", "cap").select("domain", "lang", "source", "tokens", "given")
+    langs = fill(langs.join(domains, "domain"), ["domain"], "lang", "budget", "w", "cap").select("domain", "lang", F.col("given").alias("budget"))
+    return fill(leaves.join(langs, ["domain", "lang"]), ["domain", "lang"], "source", "budget", "w", "cap").select("domain", "lang", "source", "tokens", "given")
 
 
 def order_key(seed: int, epoch: Column, key: Column) -> Column:
@@ -82,7 +81,7 @@ def mix(docs: DataFrame, domains: Mapping[str, str] = DOMAINS, weights: Mapping[
 
     The mix's size is share[0]/share[1] of the corpus's tokens (words). A leaf takes its whole documents once for each full
     epoch that its budget holds, then, in the seeded order of the next epoch, the documents whose running token count stays
-    within the rest. Null lang or source: 'unknown'; null or empty texts have no tokens and take part like others. Repeated
+    within the rest. A weight of 0 gives nothing to what is below it, whose part goes to its siblings. Null lang or source: 'unknown'; null or empty texts have no tokens and take part like others. Repeated
     rows are taken separately; equal keys tie by token count and are then alike. An empty table gives an empty result;
     other columns are ignored. A hot leaf is ordered in hash ranges, never by one task.
     """

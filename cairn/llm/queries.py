@@ -92,19 +92,20 @@ def _map(table: dict, key: str, default: str) -> str:
     return "CASE " + key + " " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in table.items()) + f" ELSE {default} END"
 
 
-def _fill(name: str, source: str, parent: str, child: str) -> str:
-    """Water filling of one level, as in mixing.fill."""
+def _fill(name: str, source: str, parent: str) -> str:
+    """A level of the tree from the definition: the budget rises like water in the children, each as wide as its weight.
+
+    A child is full if the water that stands as high as its rim, in all its siblings, takes no more than the budget. The
+    rest is shared by weight among the others.
+    """
+    same = " AND ".join(f"b.{c} = a.{c}" for c in parent.split(", ")) if parent else "TRUE"
     part = f"PARTITION BY {parent}" if parent else ""
     return f"""
 {name}_a AS (
-  SELECT *, w > 0 AND cap * sum(w) OVER ({part} ORDER BY cap / w, {child} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
-    <= w * (budget - coalesce(sum(cap) OVER ({part} ORDER BY cap / w, {child} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS filled
-  FROM {source}),
-{name}_b AS (
-  SELECT *, budget - coalesce(sum(CASE WHEN filled THEN cap END) OVER ({part}), 0) AS rest,
-    sum(CASE WHEN filled THEN 0 ELSE w END) OVER ({part}) AS share FROM {name}_a),
+  SELECT a.*, a.w > 0 AND (SELECT sum(least(b.cap * a.w, b.w * a.cap)) FROM {source} b WHERE {same}) <= a.budget * a.w AS filled FROM {source} a),
 {name} AS (
-  SELECT *, CAST(CASE WHEN filled THEN cap WHEN share > 0 THEN least(cap, (w * rest) // share) ELSE 0 END AS BIGINT) AS given FROM {name}_b)"""
+  SELECT *, CAST(CASE WHEN filled THEN cap WHEN w > 0 THEN
+    (w * (budget - coalesce(sum(CASE WHEN filled THEN cap END) OVER ({part}), 0))) // sum(CASE WHEN filled THEN 0 ELSE w END) OVER ({part}) ELSE 0 END AS BIGINT) AS given FROM {name}_a)"""
 
 
 def mix_sql(docs: str, domains=mixing.DOMAINS, weights=mixing.WEIGHTS, share=(3, 5), most_epochs=4, seed=17) -> str:
@@ -114,19 +115,19 @@ def mix_sql(docs: str, domains=mixing.DOMAINS, weights=mixing.WEIGHTS, share=(3,
 rows_ AS (
   SELECT doc_id, {_map(domains, "coalesce(source, 'unknown')", "'other'")} AS domain, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
     CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '{space}+'), lambda x: x <> '')) AS BIGINT) AS n_tokens FROM {docs}),
-leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) AS BIGINT) * {most_epochs} AS cap FROM rows_ GROUP BY ALL),
+leaves AS (
+  SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) AS BIGINT) * {most_epochs} AS cap,
+    {_map(weights, "domain || '/' || lang || '/' || source", "1")} AS w FROM rows_ GROUP BY ALL),
+langs AS (
+  SELECT domain, lang, CAST(coalesce(sum(cap) FILTER (w > 0), 0) AS BIGINT) AS cap, {_map(weights, "domain || '/' || lang", "1")} AS w FROM leaves GROUP BY domain, lang),
 d0 AS (
-  SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, {_map(weights, "domain", "1")} AS w,
-    (CAST((SELECT sum(tokens) FROM leaves) AS BIGINT) * {share[0]}) // {share[1]} AS budget FROM leaves GROUP BY domain),
-{_fill("d1", "d0", "", "domain")},
-l0 AS (
-  SELECT domain, lang, CAST(sum(leaves.cap) AS BIGINT) AS cap, {_map(weights, "domain || '/' || lang", "1")} AS w, any_value(d1.given) AS budget
-  FROM leaves JOIN d1 USING (domain) GROUP BY domain, lang),
-{_fill("l1", "l0", "domain", "lang")},
-s0 AS (
-  SELECT domain, lang, source, tokens, leaves.cap AS cap, {_map(weights, "domain || '/' || lang || '/' || source", "1")} AS w, l1.given AS budget
-  FROM leaves JOIN l1 USING (domain, lang)),
-{_fill("s1", "s0", "domain, lang", "source")},
+  SELECT domain, CAST(coalesce(sum(cap) FILTER (w > 0), 0) AS BIGINT) AS cap, {_map(weights, "domain", "1")} AS w,
+    (CAST((SELECT sum(tokens) FROM leaves) AS BIGINT) * {share[0]}) // {share[1]} AS budget FROM langs GROUP BY domain),
+{_fill("d1", "d0", "")},
+l0 AS (SELECT langs.*, d1.given AS budget FROM langs JOIN d1 USING (domain)),
+{_fill("l1", "l0", "domain")},
+s0 AS (SELECT leaves.*, l1.given AS budget FROM leaves JOIN l1 USING (domain, lang)),
+{_fill("s1", "s0", "domain, lang")},
 plan AS (
   SELECT domain, lang, source, coalesce(given // nullif(tokens, 0), 0) AS epochs, given - coalesce(given // nullif(tokens, 0), 0) * tokens AS rest FROM s1),
 keyed AS (

@@ -1,11 +1,13 @@
 """URL cascade, mixing, sharding and decontamination against brute force, with nulls, ties, repeats and empty tables."""
 
+import math
 import random
 import re
 import zlib
 
 import duckdb
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from cairn.llm import decontam, mixing, queries, sharding, urlfilter
@@ -81,6 +83,23 @@ def test_shortage_goes_to_siblings_first(spark):
     assert got == {"a": 10, "c": 190, "f": 200}  # en of d is short as a whole: de makes it up
 
 
+def test_weights_of_zero(spark):
+    """What weighs nothing is given nothing and holds nothing back: its siblings, then its parent's, take the budget."""
+    leaves = spark.createDataFrame([("d", "en", "a", 1000), ("d", "en", "b", 1000), ("d", "de", "c", 1000), ("e", "en", "f", 500), ("g", "en", "h", 9)], "domain string, lang string, source string, tokens long")
+    given = lambda weights, total: {r.source: r.given for r in mixing.budgets(leaves, F.lit(total).cast("long"), weights, 1).collect()}
+    assert given({"d/en/a": 0, "d/en/b": 0, "g": 0}, 1400) == {"a": 0, "b": 0, "c": 900, "f": 500, "h": 0}
+    assert given({"d/en": 0, "g": 0}, 1400) == {"a": 0, "b": 0, "c": 900, "f": 500, "h": 0}
+    assert given({"d": 0, "e": 0, "g": 0}, 1400) == dict.fromkeys("abcfh", 0)
+    rows = [(i, "w " * (i % 7), "en" if i % 3 else "de", f"src{i % 4}") for i in range(200)] + [(500, "w " * 60_000, "fr", "src9")]
+    weights = {"bulk": 0, "web/en/src1": 0, "web/de": 0, "web": 3}
+    got = mixing.mix(docs(spark, rows), weights=weights, most_epochs=2)
+    con = duckdb.connect()
+    con.register("documents", docs(spark, rows).select("doc_id", "text", "lang", "source").toPandas())
+    want = con.sql(f"WITH {queries.mix_sql('documents', weights=weights, most_epochs=2)} SELECT doc_id, domain, lang, source, n_tokens, epochs, partial, epochs + partial FROM mixed").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert mixing.mix(docs(spark, [])).count() == 0
+
+
 def test_take(spark):
     table = docs(spark, [(i, "a b c", "en", "src1") for i in range(50)])
     once = mixing.take(table, share=(1, 2), most_epochs=1)
@@ -108,6 +127,33 @@ def test_shards(spark):
     assert sharding.shard(docs(spark, []), sharding.tree(8)).count() == 0
 
 
+def brute_shard(key, tree):
+    """The draws of a key, made again in Python."""
+
+    def draw(level, children):
+        scored = []
+        for name, weight in children:
+            h = xxhash.xxh64(f"{level}/{name}".encode(), seed=xxhash.xxh64(key.encode(), seed=42).intdigest()).intdigest()
+            scored.append((-math.log(((h >> 11) + 0.5) / float(1 << 53)) / weight, name))
+        return min(scored)[1]
+
+    children = lambda of, rows: [(n, sum(s.weight for s in rows if of(s) == n)) for n in sorted({of(s) for s in rows})]
+    region = draw("region", children(lambda s: s.region, tree))
+    inside = [s for s in tree if s.region == region]
+    rack = draw(region, children(lambda s: s.rack, inside))
+    return int(draw(f"{region}/{rack}", children(lambda s: str(s.shard), [s for s in inside if s.rack == rack])))
+
+
+def test_shards_against_draws_in_python(spark):
+    tree = [sharding.Shard(f"r{i // 5}", f"k{i // 2}", i, 1.0 + i % 3) for i in range(11)]
+    rows = [(i, f"text {i}", "en", "s") for i in range(300)] + [(None, "x", "en", "s"), (1000, "long " * 100_000, "en", "s")]
+    got = sharding.shard(docs(spark, rows), tree, sharding.tree(9)).collect()
+    for r in got:
+        key = "" if r.doc_id is None else str(r.doc_id)
+        assert (r.shard, r.grown_shard) == (brute_shard(key, tree), brute_shard(key, sharding.tree(9)))
+    assert {r.doc_id: r.size for r in got}[1000] == 500_001
+
+
 def test_movement_stays_in_the_subtree(spark):
     tree = [sharding.Shard(f"r{i // 4}", f"k{i // 2}", i) for i in range(8)]
     heavier = [sharding.Shard(s.region, s.rack, s.shard, 2.0 if s.shard == 5 else 1.0) for s in tree]
