@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +12,6 @@ from pyspark.sql import functions as F
 
 from cairn.functions.ship import ship
 
-LETTER = re.compile(r"[^\W\d_]")
 PAD = b"\n\n\n"  # before each text, as context of its first bytes
 CHUNK = 1 << 19
 
@@ -35,68 +33,76 @@ def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 @dataclass(frozen=True)
-class Model:
-    """bits[state * symbols + symbol, language]: exact code lengths. state comes from the three symbols before."""
+class Tree:
+    """The contexts of one order in one language: sorted sequences with their code lengths, sorted contexts with their escapes'."""
 
-    langs: tuple[str, ...]
-    symbol: np.ndarray
-    state: np.ndarray
+    seen: np.ndarray  # context and symbol
     bits: np.ndarray
-    size: int
+    contexts: np.ndarray
+    escape: np.ndarray
 
+    def lookup(self, grams: np.ndarray, below) -> np.ndarray:
+        """Code lengths of grams; below gives those of the shorter context, for the grams that were never seen."""
+        out, miss = _found(self.seen, self.bits, grams)
+        if miss.any():
+            rest = grams[miss]
+            out[miss] = _found(self.contexts, self.escape, rest >> 8)[0] + below(rest)
+        return out
 
-def _mix(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """Probabilities of symbols (last axis) in contexts: escape method C, falling back to the next shorter context's.
 
-    A seen symbol has n / (N + d), d being the distinct symbols seen; an unseen one d / (N + d) times its probability in
-    the shorter context; a context never seen hands on with probability 1. Symbols already seen are not excluded below.
-    """
-    total, kinds = counts.sum(-1, keepdims=True), (counts > 0).sum(-1, keepdims=True)
-    whole = np.maximum(total + kinds, 1)
-    escape = np.where(total > 0, kinds / whole, 1.0)
-    return np.where(counts > 0, counts / whole, escape * below)
+def _found(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the asked keys, 0 for those that are not there; and which are not."""
+    if not len(keys):
+        return np.zeros(len(asked)), np.ones(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    miss = keys[at] != asked
+    return np.where(miss, 0.0, values[at]), miss
 
 
-def build(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, most_contexts: int = 16_000) -> Model:
-    """Freezes the trees of all languages into one table.
+def _tree(grams: np.ndarray, n: np.ndarray) -> Tree:
+    """Escape method C: a symbol seen n times of N in a context with d distinct ones has n / (N + d), the escape d / (N + d).
 
-    Contexts of orders 0 to 2 are all kept, of order 3 the most_contexts that occur most over all languages (ties by
-    code); elsewhere the order-2 context stands in. Bytes never seen share symbol 0, whose probability below order 0 is
-    1/256 like any byte's.
+    Symbols already seen are not excluded below; a context never seen hands on with probability 1.
     """
-    seen = np.unique(gram & 255)
-    seen = np.unique(np.concatenate([seen, np.frombuffer(PAD, np.uint8)]))
-    symbol = np.zeros(256, np.uint8)
-    symbol[seen] = np.arange(1, len(seen) + 1)
-    a = len(seen) + 1
-    s = [symbol[(gram >> k) & 255].astype(np.int64) for k in (24, 16, 8, 0)]
-    context = (s[0] * a + s[1]) * a + s[2]
-    ids, at = np.unique(context, return_inverse=True)
-    mass = np.bincount(at, n, len(ids))
-    top = np.sort(np.argsort(-mass, kind="stable")[:most_contexts])
-    place = np.full(len(ids), -1, np.int64)
-    place[top] = np.arange(len(top))
-    bits = np.empty(((len(top) + a * a) * a, len(langs)), np.float32)
+    seen, at = np.unique(grams, return_inverse=True)
+    count = np.bincount(at, n, len(seen))
+    contexts, of, kinds = np.unique(seen >> 8, return_inverse=True, return_counts=True)
+    whole = np.bincount(of, count, len(contexts)) + kinds
+    return Tree(seen.astype(np.uint32), -np.log2(count / whole[of]), contexts.astype(np.uint32), -np.log2(kinds / whole))
+
+
+@dataclass(frozen=True)
+class Model:
+    """For each language its trees of orders 3, 2, 1 and 0, with every context of the learned texts."""
+
+    langs: tuple[str, ...]
+    trees: tuple[tuple[Tree, ...], ...]
+
+    def lookup(self, grams: np.ndarray) -> np.ndarray:
+        """Exact code lengths of the last bytes of four-byte sequences, sequences x languages."""
+
+        def of(trees: tuple[Tree, ...], some: np.ndarray) -> np.ndarray:
+            if not trees:
+                return np.full(len(some), 8.0)  # below order 0 every byte is alike
+            wide = some & np.uint32((1 << 8 * len(trees)) - 1) if len(trees) < 4 else some
+            return trees[0].lookup(wide, lambda rest: of(trees[1:], rest))
+
+        return np.stack([of(t, grams) for t in self.trees], 1) if len(grams) else np.zeros((0, len(self.langs)))
+
+
+def build(langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
+    """Freezes the trees of all languages: sorted arrays, whose size grows with the distinct sequences of the texts only."""
+    trees = []
     for k in range(len(langs)):
-        own = lang == k
-        sym, cnt = s[3][own], n[own].astype(np.float64)
-        p0 = _mix(np.bincount(sym, cnt, a), np.full(a, 1 / 256))
-        p1 = _mix(np.bincount(s[2][own] * a + sym, cnt, a * a).reshape(a, a), p0)
-        p2 = _mix(np.bincount((s[1][own] * a + s[2][own]) * a + sym, cnt, a**3).reshape(a, a, a), p1[None])
-        p2 = p2.reshape(a * a, a)
-        spot = place[at[own]]
-        in3 = spot >= 0
-        p3 = _mix(np.bincount(spot[in3] * a + sym[in3], cnt[in3], len(top) * a).reshape(len(top), a), p2[ids[top] % (a * a)])
-        bits[:, k] = -np.log2(np.concatenate([p3, p2])).reshape(-1)
-    state = len(top) + np.arange(a**3, dtype=np.int32) % (a * a)
-    state[ids[top]] = np.arange(len(top))
-    return Model(tuple(langs), symbol, state.astype(np.int32), bits, a)
-
-
-def learn(rows: DataFrame, most_texts: int = 1500, most_contexts: int = 16_000) -> Model | None:
+        own, count = gram[lang == k].astype(np.int64), n[lang == k].astype(np.float64)
+        trees.append(tuple(_tree(own & ((1 << 8 * order) - 1), count) for order in (4, 3, 2, 1)))
+    return Model(tuple(langs), tuple(trees))
+
+
+def learn(rows: DataFrame, most_texts: int = 1500) -> Model | None:
     """rows (doc_id, text, lang) -> model, from about most_texts whole texts a language at most, chosen by a hash of the id.
 
-    The counts that reach the driver are bounded by the distinct four-byte sequences of that sample.
+    The counts that reach the driver are bounded by the distinct four-byte sequences of that sample; none is left out.
     """
     rows = rows.filter("lang is not null and text is not null and text <> ''")
     n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -110,7 +116,7 @@ def learn(rows: DataFrame, most_texts: int = 1500, most_contexts: int = 16_000)
     langs = sorted(got["lang"].unique())
     if not langs:
         return None
-    return build(langs, got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64), got["gram"].to_numpy(np.int64), got["n"].to_numpy(np.int64), most_contexts)
+    return build(langs, got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64), got["gram"].to_numpy(np.int64), got["n"].to_numpy(np.int64))
 
 
 def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
@@ -122,16 +128,14 @@ def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
         while j < len(texts) and (j == i or size + len(texts[j]) < CHUNK):
             size += len(texts[j])
             j += 1
-        joined = np.frombuffer(b"".join(x for t in texts[i:j] for x in (PAD, t)), np.uint8)
-        s = model.symbol[joined].astype(np.int32)
+        joined = b"".join(x for t in texts[i:j] for x in (PAD, t))
         ends = np.cumsum([len(t) + 3 for t in texts[i:j]])
         doc = np.zeros((j - i, len(model.langs)))
-        for lo in range(0, len(s) - 3, CHUNK):
-            part = s[lo : lo + CHUNK + 3]
-            row = model.state[(part[:-3] * model.size + part[1:-2]) * model.size + part[2:-1]]
-            sums = np.concatenate([np.zeros((1, len(model.langs))), np.cumsum(model.bits[row.astype(np.int64) * model.size + part[3:]], axis=0, dtype=np.float64)])
-            first = np.clip(np.concatenate([[0], ends[:-1]]) - lo, 0, len(part) - 3)  # position p of sums: byte lo + p + 3
-            last = np.clip(ends - 3 - lo, 0, len(part) - 3)
+        for lo in range(0, len(joined) - 3, CHUNK):
+            grams, at = np.unique(_grams(joined[lo : lo + CHUNK + 3])[3:], return_inverse=True)
+            sums = np.concatenate([np.zeros((1, len(model.langs))), np.cumsum(model.lookup(grams)[at], axis=0)])
+            first = np.clip(np.concatenate([[0], ends[:-1]]) - lo, 0, len(at))  # position p of sums: byte lo + p + 3
+            last = np.clip(ends - 3 - lo, 0, len(at))
             doc += sums[np.maximum(last, first)] - sums[first]
         out[i:j] = doc
         i = j
@@ -143,7 +147,7 @@ def _predict(shared, key: str):
         model = shared.value
         for pdf in batches:
             texts = [t or "" for t in pdf["text"]]
-            known = [bool(model) and LETTER.search(t) is not None for t in texts]
+            known = [bool(model) and any(map(str.isalpha, t)) for t in texts]
             pred, score = ["und"] * len(texts), np.zeros(len(texts))
             at = [i for i, k in enumerate(known) if k]
             for lo in range(0, len(at), 256):
@@ -162,18 +166,18 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, most_texts: int = 1500, most_contexts: int = 16_000) -> DataFrame:
+def identify(docs: DataFrame, most_texts: int = 1500) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row a document, from its whole text, lower-cased, as UTF-8 bytes.
 
     score is the posterior of the predicted language under equal priors, from the exact code lengths. Learned from rows
-    that are not held out and have a lang and a text. Null texts and texts without a letter: 'und' with score 0, and all
+    that are not held out and have a lang and a text. Null texts and texts without a letter (Unicode L): 'und' with score 0, and all
     texts if nothing could be learned. Ties go to the first language by name; repeated rows are alike; other columns are
     ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
-    model = learn(rows.filter(~F.col("held_out")), most_texts, most_contexts)
+    model = learn(rows.filter(~F.col("held_out")), most_texts)
     shared = spark.sparkContext.broadcast(model)
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", "text", "held_out").mapInPandas(_predict(shared, "doc_id"), f"doc_id {kind}, held_out boolean, lang_pred string, score double")

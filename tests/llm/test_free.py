@@ -279,7 +279,7 @@ def test_languages_held_out(spark):
 
 def test_language_edges(spark):
     texts = {"en": "the cat and the dog ran over the hill ", "de": "der hund und die katze liefen schnell heim "}
-    rows = [(i, texts[k] * 5, k) for i in range(40) for k in texts] + [(100, None, "en"), (101, "", "de"), (102, "12 + 34 = 46!", "en"), (103, "the dog and the cat " * 20000, None), (104, "日本語", None), (None, "die katze und der hund", None)]
+    rows = [(i, texts[k] * 5, k) for i in range(40) for k in texts] + [(100, None, "en"), (101, "", "de"), (102, "12 + 34 = 46! ½ ² Ⅷ", "en"), (103, "the dog and the cat " * 20000, None), (104, "日本語", None), (None, "die katze und der hund", None)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, score int")
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df).collect() if r.doc_id is None or r.doc_id >= 100}
     assert got[100] == got[101] == got[102] == ("und", 0.0) and got[103][0] == "en" and got[None][0] == "de" and got[104][0] in texts
@@ -287,6 +287,19 @@ def test_language_edges(spark):
     assert langid.identify(df.limit(0)).count() == 0
 
 
+def test_every_context_counts():
+    """A sequence seen once, among more contexts than any table of fixed size would keep."""
+    rng = np.random.default_rng(0)
+    noise = rng.integers(97, 123, 200_000).astype(np.uint8).tobytes()
+    grams = np.concatenate([langid._grams(noise), langid._grams(b"zq!x")])
+    keys, n = np.unique(grams, return_counts=True)
+    model = langid.build(["x", "y"], np.repeat([0, 1], len(keys)), np.tile(keys.astype(np.int64), 2), np.tile(n, 2))
+    assert len(model.trees[0][0].contexts) > 17_000
+    assert np.allclose(model.lookup(np.array([int.from_bytes(b"zq!x", "big")], np.uint32)), 1.0)  # 1 of 1 with one escape: one bit
+    tie = langid.code_lengths(model, [b"some text", "é".encode() * 300_000])
+    assert (tie[:, 0] == tie[:, 1]).all() and tie[1, 0] > 4 * 600_000  # equal languages, long texts over several chunks
+
+
 def test_code_lengths_are_exact():
     """Against the escape rule applied byte by byte."""
     train = [b"abracadabra", b"banana bandana"]
