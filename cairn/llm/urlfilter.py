@@ -72,12 +72,10 @@ def _level(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
 
 
 def _holds(key: Column, level: Level) -> Column:
+    """Whether the filter holds a key. The words stand once in the expression, for all positions of all keys it is laid on."""
     words = F.split(F.lit(",".join(map(str, level.words))), ",").cast("array<bigint>")
-    out = None
-    for p in _positions(key, level.bits, level.hashes, level.seed):
-        one = F.getbit(F.get(words, (p / 64).cast("int")), (p % 64).cast("int")) == 1
-        out = one if out is None else out & one
-    return out
+    spots = F.array(*_positions(key, level.bits, level.hashes, level.seed))
+    return F.forall(spots, lambda p: F.getbit(F.get(words, (p / 64).cast("int")), (p % 64).cast("int")) == 1)
 
 
 class Cascade:
@@ -151,9 +149,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, max_bits: int = 1 <<
         universe = hosts.select(F.explode(F.array(*keys(F.col("host")))).alias("key")).distinct()
         cascade = build_cascade(universe, listed, held, max_bits)
         if cascade is not None:
-            for k in keys(F.col("host")):
-                blocked = blocked | cascade.listed(k)
-            blocked = (F.col("host") != "") & blocked
+            blocked = (F.col("host") != "") & F.exists(F.array(*keys(F.col("host"))), cascade.listed)
         else:
             bad = hosts.select("host", F.explode(F.array(*keys(F.col("host")))).alias("key")).join(listed, "key", "left_semi").select(F.col("host").alias("_h")).distinct()
             rows = rows.join(bad, F.col("host") == F.col("_h"), "left")

@@ -137,17 +137,16 @@ def _windowed(least: float):
         a cosine is off by less than 2 sqrt(dim) steps, a step being the largest component's share of a vector of length 1.
         """
         out = []
-        for dim, part in pdf.groupby("dim", sort=False):
+        for dim, part in pdf.sort_values("own", ascending=False, kind="stable").groupby("dim", sort=False):
             u = unit(_matrix(part["q"], dim, "int16")).astype(np.float32)
             slack = 2 * math.sqrt(dim) * float(np.abs(u).max()) / COMMON + 1e-6
-            names, rep, own = part["label"].to_numpy(), part["rep"].to_numpy(np.int64), np.flatnonzero(part["own"].to_numpy())
+            names, rep, own = part["label"].to_numpy(), part["rep"].to_numpy(np.int64), int(part["own"].sum())
             label = np.unique(names.astype(str), return_inverse=True)[1]
             sure, near = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
-            for lo in range(0, len(own), 256):
-                some = own[lo : lo + 256]
-                i, j = np.nonzero(u[some] @ u.T >= least - slack)
-                i = some[i]
-                keep = (i != j) & (label[i] == label[j]) & (rep[i] != rep[j])
+            for lo in range(0, own, 256):
+                i, j = np.nonzero(u[lo : min(lo + 256, own)] @ u[lo:].T >= least - slack)
+                i, j = i + lo, j + lo
+                keep = (i < j) & (label[i] == label[j]) & (rep[i] != rep[j])
                 i, j = i[keep], j[keep]
                 cos = np.einsum("ij,ij->i", u[i].astype(np.float64), u[j].astype(np.float64))
                 sure.append(np.stack([i, j], 1)[cos >= least + slack])

@@ -47,6 +47,15 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert urlfilter.build_cascade(universe, listed, Held(spark, "t"), max_bits=64) is None
 
 
+def test_a_filter_stands_once_in_the_plan(spark):
+    pages = spark.createDataFrame([(i, f"http://a.b{i}.c.example.org/" + "p" * (i * 40_000)) for i in range(4)], "page_id long, url string")
+    listed = spark.createDataFrame([("b1.c.example.org",), ("b3.c.example.org",)], "key string")
+    got = urlfilter.judge(pages, listed, ())
+    assert {r.page_id: r.verdict for r in got.collect()} == {0: "allow", 1: "block", 2: "allow", 3: "block"}  # long urls, too
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert 1 <= plan.count("forall(") <= 6  # once a level, not once a level, suffix and hash position
+
+
 def test_large_lists_and_empty_ones(spark):
     pages = spark.createDataFrame([(1, "http://a.b.c/x"), (2, "http://b.c/x"), (3, "http://z/x")], "page_id long, url string")
     listed = spark.createDataFrame([("b.c",)], "key string")
