@@ -12,10 +12,10 @@ BROADCAST_IDS = 1_000_000
 
 
 class Held(held.Held):
-    """Held tables of text operators: texts are long, so Python workers get 2,000 rows at once."""
+    """Held tables of text operators: texts are long, so Python workers get 1,000 rows at once."""
 
     def __init__(self, spark: SparkSession, name: str):
-        super().__init__(spark, name, 2000)
+        super().__init__(spark, name, 1000)
 
 
 def by_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:

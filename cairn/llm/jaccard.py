@@ -36,7 +36,7 @@ from .common import BROADCAST_IDS, Held, by_ids, components
 U = np.uint64
 SHINGLE = 5
 SKETCH_BITS = 22
-PART = 1_250_000  # shingles of the corpus for each part of the signatures' space
+PART = 600_000  # shingles of the corpus for each part of the signatures' space
 RUN = 32  # sets that share a signature, up to which they are compared as pairs
 PAIR_BYTES = 2 << 20  # of sets that a Python worker gets at once to verify pairs
 CUT_BYTES = 8 << 20  # of sets in a cut of a clump
@@ -70,7 +70,7 @@ _ORDER = np.array([pow(0x2545F4914F6CDD1D, k + 1, 1 << 64) | 1 for k in range(SH
 def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(hash, start) of each word of lower-cased bytes: a polynomial in the word's bytes, mixed with its length."""
     b = np.frombuffer(raw, np.uint8)
-    up, down = _powers(max(20, len(b).bit_length()))
+    up, down = _powers(max(18, len(b).bit_length()))
     space = _SPACE[b]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
     start, end = edge[::2], edge[1::2]
@@ -78,7 +78,7 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64), 2), start
 
 
-def shingle_sets(texts: list[str | None], chunk: int = 1 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], chunk: int = 1 << 18) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text, in turn."""
     i = 0
     while i < len(texts):
@@ -217,9 +217,10 @@ def sign(s: np.ndarray, light: np.ndarray, band: int, differ: int) -> np.ndarray
 
 
 def signatures(s: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """All signatures of a set, for its own band and the band below; heavy marks the sketch's frequent counters."""
+    """All signatures of a set, for its own band and the band below; heavy has a bit for each of the sketch's frequent counters."""
     n = len(s)
-    light = ~heavy[slots(s)]
+    at = slots(s)
+    light = heavy[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 0
     band = int(np.searchsorted(_bands(), n, side="right")) - 1
     out = [sign(s, light, band, (n + 4 * n // 3) // 7)]
     below = int(_bands()[band]) - 1
@@ -278,7 +279,7 @@ def frequent(counters: DataFrame, held: Held) -> bytes:
     return out.tobytes()
 
 
-def _packed(parts: int, heavy, most: int = 1_000_000):
+def _packed(parts: int, heavy, most: int = 300_000):
     """Texts -> a blob for each part of the signatures' space: 40 bits of each signature, and the first hash of its set.
 
     The part comes from a signature's high bits. Parts grow in number with the input, without end, so the chance that two
@@ -298,7 +299,7 @@ def _packed(parts: int, heavy, most: int = 1_000_000):
             rows = [(int(part[lo]), name[lo:hi].tobytes(), low[lo:hi].tobytes(), high[lo:hi].tobytes()) for lo, hi in zip(cuts, cuts[1:], strict=False)]
             return pd.DataFrame(rows, columns=["part", "ids", "low", "high"])
 
-        frequent_ = np.unpackbits(np.frombuffer(heavy.value, np.uint8)).astype(bool)
+        frequent_ = np.frombuffer(heavy.value, np.uint8)
         seen: set[int] = set()
         sigs, ids, total = [], [], 0
         for pdf in batches:
