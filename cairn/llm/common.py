@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,21 @@ class Held(held.Held):
         super().__init__(spark, name, 1000)
 
 
+def trimmed(run):
+    """A function over batches that, at its end, gives freed memory back: Python workers live on and would keep it for each kind of task."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def by_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
     """docs left_semi or left_anti the ids, which are broadcast only when counted and few. ids must be held."""
     ids = ids.select(F.col(key).alias("_id"))

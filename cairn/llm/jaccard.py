@@ -31,11 +31,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, Held, by_ids, components
+from .common import BROADCAST_IDS, Held, by_ids, components, trimmed
 
 U = np.uint64
 SHINGLE = 5
-SKETCH_BITS = 22
+SKETCH_BITS = 20
 PART = 600_000  # shingles of the corpus for each part of the signatures' space
 RUN = 32  # sets that share a signature, up to which they are compared as pairs
 PAIR_BYTES = 2 << 20  # of sets that a Python worker gets at once to verify pairs
@@ -259,7 +259,7 @@ def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
 def frequent(counters: DataFrame, held: Held) -> bytes:
     """A bit for each of the sketch's counters that stands out: over 50 and three times the mean.
 
-    A fixed number of bits (half a megabyte), whatever the corpus. Counters are summed in two steps, so that no task has
+    A fixed number of bits (128 KB), whatever the corpus. Counters are summed in two steps, so that no task has
     those of more than 1,024 partitions. The sketch only ranks segments by cost: its collisions cost time, not links.
     """
     kind = "block int, total long, counts binary, wide boolean"
@@ -433,7 +433,7 @@ def _fetched(docs: DataFrame, asked: DataFrame, held: Held, kind: str, to: str)
     few = asked.count() <= BROADCAST_IDS
     run, shape = _sets(kind)
     found = docs.join(F.broadcast(asked) if few else asked, F.col("doc_id") == F.col("a"))
-    return found.select("a", "to", "text").mapInPandas(run, shape.format(to=to))
+    return found.select("a", "to", "text").mapInPandas(trimmed(run), shape.format(to=to))
 
 
 def _pairs(docs: DataFrame, pairs: DataFrame, held: Held, kind: str) -> DataFrame:
@@ -494,11 +494,11 @@ def near_duplicates(docs: DataFrame, held: Held | None = None) -> DataFrame:
     held = held or Held(docs.sparkSession, "jaccard")
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
-    both = held.put(docs.mapInPandas(_described("doc_id"), f"doc_id {kind}, n long, h long, g long, block int, counts binary"), "described")
+    both = held.put(docs.mapInPandas(trimmed(_described("doc_id")), f"doc_id {kind}, n long, h long, g long, block int, counts binary"), "described")
     described = both.filter("block < 0").select("doc_id", "n", "h", "g")
     heavy = docs.sparkSession.sparkContext.broadcast(frequent(both.filter("block >= 0").select("block", "counts"), held))
     parts = max(4, (described.agg(F.sum("n")).first()[0] or 0) // PART)
-    blobs = docs.filter("doc_id is not null").mapInPandas(_packed(parts, heavy), "part int, ids binary, low binary, high binary")
+    blobs = docs.filter("doc_id is not null").mapInPandas(trimmed(_packed(parts, heavy)), "part int, ids binary, low binary, high binary")
     seen = blobs.repartition(parts, "part").groupBy("part").applyInPandas(_meeting(RUN), MET)
     seen = held.put(seen.groupBy("long", "ah", "bh").agg(F.min("c").alias("c")), "met")
     heavy.unpersist()
