@@ -47,6 +47,19 @@ class Held:
         out._held_path = path
         return out
 
+    def bucketed(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """A held table in buckets of key: joins on it shuffle the other side only."""
+        self.made += 1
+        name, path = f"held_{uuid.uuid4().hex}", f"{self.top}/{self.made:03d}-bucketed"
+        df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+        out = self.spark.table(name)
+        out._held_path = path
+        return out
+
+    def together(self, tables: list[DataFrame]) -> DataFrame:
+        """The rows of held tables of one schema, as one scan however many they are."""
+        return self.spark.read.schema(tables[0].schema).parquet(*[t._held_path for t in tables])
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Deletes tables that nothing reads any more."""
         for df in tables:

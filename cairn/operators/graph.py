@@ -100,7 +100,7 @@ def explore(edges: DataFrame, starts: DataFrame, budget_ms: int, most_rounds: in
 
     edges carry ab and ba; starts is (origin, node, cost). Label correcting: each round relaxes the edges of the nodes that
     got cheaper in the round before, for all origins at once, and keeps the minimum by (cost, previous node, edge). The
-    adjacency is hashed by node once; a round shuffles the frontier only. A start above the budget is kept but not left.
+    adjacency is written in buckets of its nodes once; a round shuffles the frontier and what was reached, not the edges. A start above the budget is kept but not left.
     """
     spark = edges.sparkSession
     held = Held(spark, "explore")
@@ -109,7 +109,7 @@ def explore(edges: DataFrame, starts: DataFrame, budget_ms: int, most_rounds: in
     best = held.put(state, "best")
     frontier = best
     links = adjacency(edges).select("node", "other", "cost", F.col("way_id").cast("long").alias("way_id"), F.col("from_seq").cast("long").alias("from_seq"))
-    links = held.put(links.repartition("node"), "links")
+    links = held.bucketed(links, "node", int(spark.conf.get("spark.sql.shuffle.partitions")))
     for _ in range(most_rounds):
         step = frontier.select("origin", F.col("node").alias("at"), F.col("cost").alias("so_far")).filter(F.col("so_far") <= budget_ms)
         next_ = step.join(links, F.col("at") == links["node"]).withColumn("next", F.col("so_far") + F.col("cost")).filter(F.col("next") <= budget_ms)
@@ -144,7 +144,7 @@ def furthest(reach: DataFrame, positions: DataFrame, origins: DataFrame) -> Data
 def back_walk(reach: DataFrame, targets: DataFrame, most_steps: int = 100_000) -> DataFrame:
     """(origin, target, step, node, way_id, from_seq): the tree path from each target back to a start; step 0 is the target.
 
-    Each round follows one edge of all open paths by an equi-join; a path ends at a node without a previous one.
+    Each round follows one edge of all open paths by an equi-join and is written; all rounds are read as one table. A path ends at a node without a previous one.
     """
     held = Held(reach.sparkSession, "walk")
     tree = reach.select(F.col("origin").alias("o"), F.col("node").alias("k"), "prev_node", "way_id", "from_seq")
@@ -153,16 +153,13 @@ def back_walk(reach: DataFrame, targets: DataFrame, most_steps: int = 100_000) -
     for step in range(most_steps):
         rows = at.join(tree, (F.col("origin") == F.col("o")) & (F.col("node") == F.col("k"))).select("origin", "target", F.lit(step).alias("step"), "node", "way_id", "from_seq", "prev_node")
         rows = held.put(rows, "step")
-        parts.append(rows.drop("prev_node"))
+        parts.append(rows)
         at = rows.filter("prev_node is not null").select("origin", "target", F.col("prev_node").alias("node"))
         if at.isEmpty():
             break
     else:
         raise RuntimeError("a path does not end")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return held.together(parts).drop("prev_node")
 
 
 def route_costs(reach: DataFrame, arrivals: DataFrame, edges: DataFrame, w: walk.WalkSettings, budget_ms: int) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,20 +24,21 @@ def segment_cells(segs: DataFrame) -> DataFrame:
 def snap(clicks: DataFrame, segs: DataFrame, most_m: float = geo.SNAP_RADIUS_M) -> DataFrame:
     """clicks(click_id, lat, lon) -> (click_id, way_id, seg, t, lat, lon, dist_m): the nearest place within most_m.
 
-    The click is dealt to the cells around it, so candidates come by an equi-join on the cell. Ties: lower cell, way, segment.
+    The click is dealt to the cells that its box of most_m touches, one to four at the usual radius: a place within most_m
+    lies in one of them, and its segment is dealt to every cell it crosses. So candidates come by an equi-join on the cell,
+    and only those within most_m go on to the aggregate. Ties: lower cell, way, segment.
     """
     click = clicks.select("click_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
     mx, my = geo.degree_m(F.col("p_lat"))
-    reach = F.ceil(F.lit(most_m) / (geo.CELL_DEG * F.least(mx, my))).cast("int") + 1
-    click = click.withColumn("r", reach)
-    around = lambda c: F.explode(F.sequence(geo.cell(F.col(c)) - F.col("r"), geo.cell(F.col(c)) + F.col("r")))
-    click = click.withColumn("cy", around("p_lat")).withColumn("cx", around("p_lon"))
+    around = lambda c, m: F.explode(F.sequence(geo.cell(F.col(c) - most_m / m), geo.cell(F.col(c) + most_m / m)))
+    click = click.withColumn("cy", around("p_lat", my)).withColumn("cx", around("p_lon", mx))
     near = click.join(segment_cells(segs), ["cy", "cx"])
     t, dist = geo.on_segment(*[F.col(c) for c in ("p_lat", "p_lon", "a_lat", "a_lon", "b_lat", "b_lon")])
-    near = near.withColumns({"t": t, "dist_m": dist}).filter(F.col("dist_m") <= most_m)
-    near = near.withColumns({"lat": geo.lerp(F.col("a_lat"), F.col("b_lat"), F.col("t")), "lon": geo.lerp(F.col("a_lon"), F.col("b_lon"), F.col("t"))})
-    best = F.min_by(F.struct("way_id", "seg", "t", "lat", "lon", "dist_m"), F.struct("dist_m", "cy", "cx", "way_id", "seg"))
-    return near.groupBy("click_id").agg(best.alias("s")).select("click_id", "s.*")
+    near = near.select("*", t.alias("t"), dist.alias("dist_m")).filter(F.col("dist_m") <= most_m)
+    lat, lon = geo.lerp(F.col("a_lat"), F.col("b_lat"), F.col("t")), geo.lerp(F.col("a_lon"), F.col("b_lon"), F.col("t"))
+    near = near.select("click_id", F.struct("dist_m", "cy", "cx", "way_id", "seg").alias("k"), F.struct("t", lat.alias("lat"), lon.alias("lon")).alias("at"))
+    best = near.groupBy("click_id").agg(F.min(F.struct("k", "at")).alias("s"))
+    return best.select("click_id", "s.k.way_id", "s.k.seg", "s.at.t", "s.at.lat", "s.at.lon", "s.k.dist_m")
 
 
 def follow(pairs: DataFrame, ways: DataFrame) -> DataFrame:
@@ -56,7 +55,7 @@ def follow(pairs: DataFrame, ways: DataFrame) -> DataFrame:
     return same.select("pair_id", path.alias("path"))
 
 
-def regions_of(places: DataFrame, regions: DataFrame, most_regions: int = 10_000) -> DataFrame:
+def regions_of(places: DataFrame, regions: DataFrame) -> DataFrame:
     """places(id, lat, lon) with dir of the first region (by ord) whose box holds them; null if none.
 
     A place is dealt to its degree square and a region to the squares it overlaps, so the range join is an equi-join.
@@ -88,9 +87,3 @@ def area_ready(cover: DataFrame, settled: DataFrame) -> DataFrame:
     """(id, ready): every covering tile is settled."""
     marked = cover.join(settled.select("x", "y").distinct().withColumn("ok", F.lit(True)), ["x", "y"], "left")
     return marked.groupBy("id").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("ready"))
-
-
-def reach_cells(lat: float, most_m: float = geo.SNAP_RADIUS_M) -> int:
-    """Cells on each side of a click that snap looks at."""
-    per_deg = min(geo.M_PER_DEG_LON_EQUATOR * math.cos(math.radians(lat)), geo.M_PER_DEG_LAT)
-    return math.ceil(most_m / (geo.CELL_DEG * per_deg)) + 1

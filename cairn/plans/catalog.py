@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -167,7 +167,7 @@ def _(spark, sf):
     """Written as files with their index, verified, and read back."""
     from cairn.functions.held import shared_dir
 
-    path = f"{shared_dir(spark).removeprefix('file://').removeprefix('file:')}/archive-{next(tempfile._get_candidate_names())}"
+    path = f"{shared_dir(spark).removeprefix('file://').removeprefix('file:')}/archive-{uuid.uuid4().hex}"
     archive.write(_assembled(spark, sf)[0], path)
     ways = archive.ways(archive.read_tiles(spark, path))
     return ways.agg(F.count(F.lit(1)).alias("ways"), long(F.coalesce(F.sum(F.size("points")), F.lit(0))).alias("points")).join(archive.read_index(spark, path).agg(F.count(F.lit(1)).alias("tiles")))
@@ -337,7 +337,8 @@ for _model in ("naismith", "tobler"):
 HOUR = 3_600_000
 PRICED = f"""{EDGES}, priced AS MATERIALIZED (SELECT way_id, from_seq, a, b, (CAST(round(len_m * 100) AS BIGINT) * 36) // 5 AS ms FROM edges),
 adj AS MATERIALIZED (SELECT a AS node, b AS other, ms FROM priced UNION ALL SELECT b, a, ms FROM priced),
-seeds AS MATERIALIZED (SELECT node_id FROM (SELECT node_id FROM uses WHERE n > 1) JOIN (SELECT DISTINCT node AS node_id FROM adj) USING (node_id) ORDER BY node_id LIMIT 10)"""
+heads AS MATERIALIZED (SELECT node_id FROM uses JOIN part ON p_partkey = node_id // 100000 WHERE n > 1 AND p_size = 1),
+seeds AS MATERIALIZED (SELECT node_id FROM heads JOIN (SELECT DISTINCT node AS node_id FROM adj) USING (node_id))"""
 REACH = f"""{PRICED}, reach(origin, node, cost) USING KEY (origin, node) AS (
   SELECT node_id, node_id, CAST(0 AS BIGINT) FROM seeds
   UNION
@@ -352,12 +353,18 @@ def _priced(spark, sf):
     return _edges(spark, sf).withColumns({"ab": ms, "ba": ms})
 
 
+def _heads(spark, sf):
+    """Trailheads: all junctions at a part of size 1."""
+    counts = pj.way_refs(spark, sf).groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    small = pj.table(spark, sf, "part").filter("p_size = 1").select("p_partkey")
+    return counts.join(small, F.expr("node_id div 100000") == F.col("p_partkey"), "left_semi").select("node_id")
+
+
 def _reach(spark, sf, budget=2 * HOUR):
     from cairn.functions.held import Held
 
     edges = Held(spark, "graph").put(_priced(spark, sf), "edges")
-    counts = pj.way_refs(spark, sf).groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    seeds = graph.adjacency(edges).select(F.col("node").alias("node_id")).distinct().join(counts, "node_id", "left_semi").orderBy("node_id").limit(10)
+    seeds = graph.adjacency(edges).select(F.col("node").alias("node_id")).distinct().join(_heads(spark, sf), "node_id", "left_semi")
     starts = seeds.select(F.col("node_id").alias("origin"), F.col("node_id").alias("node"), F.lit(0).cast("long").alias("cost"))
     return edges, graph.explore(edges, starts, budget)
 
@@ -391,6 +398,32 @@ def _(spark, sf):
     return along.join(reach.select("origin", F.col("node").alias("target"), F.col("cost").alias("cost_ms")), ["origin", "target"])
 
 
+DIRECTED = f"""{CLIMBS}, flat AS (SELECT way_id, from_seq, a, b, round(len_m, 2)::DOUBLE AS len, coalesce(up, 0)::DOUBLE AS u, coalesce(down, 0)::DOUBLE AS d FROM edges JOIN climbs USING (way_id, from_seq)),
+both_ways AS MATERIALIZED (SELECT way_id, from_seq, a, b, {_cost_sql("naismith", "u", "d")} AS ab, {_cost_sql("naismith", "d", "u")} AS ba FROM flat),
+adj AS MATERIALIZED (SELECT a AS node, b AS other, ab AS ms FROM both_ways UNION ALL SELECT b, a, ba FROM both_ways),
+starts AS MATERIALIZED (
+  SELECT origin, node, min(cost) AS cost FROM (
+    SELECT way_id AS origin, unnest([{{node: a, cost: CAST(floor(greatest(ba, 1) * 0.2371303) AS BIGINT)}}, {{node: b, cost: CAST(floor(greatest(ab, 1) * (1 - 0.2371303)) AS BIGINT)}}], recursive := true)
+    FROM both_ways JOIN orders ON o_orderkey = way_id WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P' AND o_totalprice > 400000) GROUP BY ALL)"""
+DIRECTED_REACH = f"""{DIRECTED}, reach(origin, node, cost) USING KEY (origin, node) AS (
+  SELECT origin, node, cost FROM starts
+  UNION
+  SELECT n.origin, n.node, n.cost FROM (
+    SELECT r.origin, adj.other AS node, min(r.cost + adj.ms) AS cost FROM reach r JOIN adj ON r.node = adj.node WHERE r.cost + adj.ms <= {HOUR} GROUP BY ALL) n
+  LEFT JOIN recurring.reach k ON k.origin = n.origin AND k.node = n.node WHERE k.cost IS NULL OR n.cost < k.cost)"""
+
+
+@query("isochrone_directed", f"WITH RECURSIVE {DIRECTED_REACH} SELECT origin, node, cost FROM reach")
+def _(spark, sf):
+    """Costs that differ each way, from places about a quarter along an edge, whose ends carry the way there; a budget that cuts."""
+    from cairn.functions.held import Held
+
+    edges = Held(spark, "graph").put(graph.priced(_climbed(spark, sf), walk.WalkSettings(model="naismith")), "edges")
+    ways = pj.table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'P' and o_totalprice > 400000").select(F.col("o_orderkey").alias("way_id"))
+    places = edges.join(ways, "way_id", "left_semi").select(F.col("way_id").alias("snap_id"), "way_id", "from_seq", (F.col("len_m") * 0.2371303).alias("to_a_m"), (F.col("len_m") * (1 - 0.2371303)).alias("to_b_m"))
+    return graph.explore(edges, graph.sources(places, edges), HOUR).select("origin", "node", "cost")
+
+
 # --- tracks ------------------------------------------------------------------------------------------------------------
 
 
@@ -641,5 +674,5 @@ def _(spark, sf):
 
 
 def FLAGSHIP(spark, sf):
-    """Isochrones of ten places on the contracted junction graph."""
+    """Isochrones of all trailheads on the contracted junction graph."""
     return QUERIES["isochrone_nodes"](spark, sf)

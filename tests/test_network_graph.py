@@ -88,3 +88,47 @@ def test_snap_and_follow(spark):
 def test_degrees_and_empty(spark, cross):
     assert {r.node: r.degree for r in graph.degrees(graph.contract(cross)).collect()}[3] == 4
     assert graph.contract(cross.limit(0)).count() == 0
+
+
+def test_bucketed_links_are_not_shuffled(spark, tmp_path):
+    """A round of explore shuffles the frontier only: the links' side of the join has no exchange."""
+    from cairn.functions.held import Held
+
+    held = Held(spark, "t")
+    links = held.bucketed(spark.range(5000).selectExpr("id as node", "id + 1 as other"), "node", 4)
+    step = held.put(spark.range(3000).selectExpr("id as at"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = step.join(links, step["at"] == links["node"])
+        assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert joined.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert held.together([held.put(spark.range(3)), held.put(spark.range(2))]).count() == 5
+
+
+def test_directed_costs_and_the_budget(spark):
+    """Uphill takes longer than down; a node exactly at the budget is reached, one beyond it is not; against Dijkstra."""
+    import heapq
+    import random
+
+    rng = random.Random(5)
+    arcs = [(a, b, rng.randint(1, 20), rng.randint(1, 20)) for a in range(30) for b in rng.sample(range(30), 3) if a != b]
+    edges = spark.createDataFrame([(i, 0, *x) for i, x in enumerate(arcs)], "way_id long, from_seq int, a long, b long, ab long, ba long")
+    starts = [(100, 3, 4), (100, 7, 0), (200, 11, 2)]
+    got = {(r.origin, r.node): r.cost for r in graph.explore(edges, spark.createDataFrame(starts, "origin long, node long, cost long"), 25).collect()}
+    want = {}
+    for origin in (100, 200):
+        heap = [(c, n) for o, n, c in starts if o == origin]
+        heapq.heapify(heap)
+        while heap:
+            c, n = heapq.heappop(heap)
+            if (origin, n) in want:
+                continue
+            want[origin, n] = c
+            for a, b, ab, ba in arcs:
+                for x, y, w in ((a, b, ab), (b, a, ba)):
+                    if x == n and c + w <= 25:
+                        heapq.heappush(heap, (c + w, y))
+    assert got == want and max(got.values()) == 25
