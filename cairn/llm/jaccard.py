@@ -457,11 +457,12 @@ def _pairs(docs: DataFrame, pairs: DataFrame, held: Held, kind: str) -> DataFram
 def _clumps(stars: DataFrame, held: Held) -> DataFrame:
     """(a, clump, cuts) of the sets (a, b, size of each) in long runs: runs that share sets form a clump.
 
-    A clump of more than CUT_BYTES of sets is cut by them, and compared in blocks of two cuts.
+    A clump is cut by its bytes, into up to eight cuts early on, beyond that by CUT_BYTES, and compared in blocks of two
+    cuts, so one clump is the work of many tasks.
     """
     size = stars.select("a", F.col("na").alias("n")).unionByName(stars.select(F.col("b").alias("a"), F.col("nb").alias("n"))).distinct()
     clumps = held.put(components(stars.select("a", "b"), held).join(size, F.col("node") == F.col("a")).select("a", "n", F.col("comp").alias("clump")), "clumps")
-    cuts = clumps.groupBy(F.col("clump").alias("_clump")).agg(F.expr(f"cast(sum(8 * n) div {CUT_BYTES} + 1 as int)").alias("cuts"))
+    cuts = clumps.groupBy(F.col("clump").alias("_clump")).agg(F.expr(f"cast(greatest(least(8, sum(8 * n) div {CUT_BYTES // 32} + 1), sum(8 * n) div {CUT_BYTES} + 1) as int)").alias("cuts"))
     return held.put(clumps.join(cuts, F.col("clump") == F.col("_clump")).select("a", "clump", "cuts"), "cuts")
 
 
