@@ -121,3 +121,38 @@ def undeltas(wire: DataFrame) -> DataFrame:
     """The inverse of deltas: (way_id, seq, qlat, qlon) by running sums."""
     w = Window.partitionBy("way_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     return wire.select("way_id", "seq", F.sum(geo.unzigzag(F.col("zlat"))).over(w).alias("qlat"), F.sum(geo.unzigzag(F.col("zlon"))).over(w).alias("qlon"))
+
+
+def aligned(ways: DataFrame) -> DataFrame:
+    """Ways whose lists of nodes and points pair up; of others nobody can tell which point is which node."""
+    return ways.filter((F.size("nodes") == F.size("points")) & (F.size("points") > 0))
+
+
+def overhang(points: DataFrame) -> DataFrame:
+    """(way_id, overhang_m): how far a way reaches from its first point, by which it is filed, from (way_id, seq, lat, lon)."""
+    first = F.min(F.struct("seq", "lat", "lon")).alias("f")
+    starts = points.groupBy("way_id").agg(first).select("way_id", F.col("f.lat").alias("f_lat"), F.col("f.lon").alias("f_lon"))
+    far = geo.haversine(F.col("f_lat"), F.col("f_lon"), F.col("lat"), F.col("lon"))
+    return points.join(starts, "way_id").groupBy("way_id").agg(F.max(far).alias("overhang_m"))
+
+
+def longest(points: DataFrame) -> DataFrame:
+    """(way_id, points) of the way with the most points; of equals, that with the smallest id."""
+    sizes = points.groupBy("way_id").agg(F.count(F.lit(1)).alias("points"))
+    return sizes.agg(F.max(F.struct("points", (-F.col("way_id")).alias("w"))).alias("m")).select((-F.col("m.w")).alias("way_id"), "m.points").filter("points is not null")
+
+
+def ways_within(places: DataFrame, points: DataFrame, radius_m: float) -> DataFrame:
+    """(id, ways): ways with a point nearer than radius_m to each place (id, lat, lon); 0 where there is none.
+
+    Places are dealt to the cells that their box touches, in cells as high as the radius, so candidates meet by an equi-join.
+    """
+    size = radius_m / geo.M_PER_DEG_LAT
+    mx, _ = geo.degree_m(F.col("p_lat"))
+    around = lambda c, d: F.explode(F.sequence(geo.cell(F.col(c) - d, size), geo.cell(F.col(c) + d, size)))
+    place = places.select("id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    dealt = place.withColumn("cy", around("p_lat", size * 1.001)).withColumn("cx", around("p_lon", radius_m * 1.001 / F.greatest(mx, F.lit(1.0))))
+    near = dealt.join(points.select("way_id", "lat", "lon", geo.cell(F.col("lat"), size).alias("cy"), geo.cell(F.col("lon"), size).alias("cx")), ["cy", "cx"])
+    near = near.filter(geo.haversine(F.col("p_lat"), F.col("p_lon"), F.col("lat"), F.col("lon")) < radius_m)
+    counts = near.groupBy("id").agg(F.count_distinct("way_id").alias("n")).withColumnRenamed("id", "_id")
+    return place.join(counts, F.col("id") == F.col("_id"), "left").select("id", F.coalesce("n", F.lit(0)).alias("ways"))

@@ -520,30 +520,68 @@ def _places(spark, sf):
     return pj.clicks(spark, sf).withColumnRenamed("click_id", "id")
 
 
-@query("terrain_plane", """SELECT c_custkey AS id, 26.565 AS slope_deg, 180.0 AS aspect_deg, 0.0 AS roughness_m, 'S' AS facing, true AS sunny FROM customer""")
-def _(spark, sf):
-    """A plane that rises half a metre a metre northwards."""
-    height = lambda lat, lon: 1500 + 0.5 * (lat - BASE_LAT) * geo.M_PER_DEG_LAT
-    exact = lambda places, zoom: places.withColumn("elev_m", height(F.col("lat"), F.col("lon")))
-    out = terrain.fit_surface(_places(spark, sf), exact)
-    return out.select("id", r(F.col("slope_deg").cast("double"), 3).alias("slope_deg"), F.pmod(r(F.col("aspect_deg").cast("double"), 2), F.lit(360.0)).alias("aspect_deg"), F.abs(r(F.col("roughness_m").cast("double"), 3)).alias("roughness_m"), vocab.cardinal(F.col("aspect_deg")).alias("facing"), vocab.sunny(F.round("aspect_deg", 2)).alias("sunny"))
+_north, _east = "(0.1 + c_custkey % 9 * 0.1)", "(c_custkey % 5 * 0.1 - 0.2)"
+_falls = f"(CAST(degrees(atan2(-{_east}, -{_north})) + 720 AS DOUBLE) % 360)"
 
 
-@query("tpi_bowl", "SELECT c_custkey AS id, -90.0 AS tpi_m, 'hollow' AS position FROM customer")
-def _(spark, sf):
-    """At the bottom of a bowl whose sides rise 0.3 m a metre, around every place."""
+def _local_surface(spark, sf, height):
+    """Places around customers, and heights from metres east and north of each and its id."""
     places = _places(spark, sf)
-    centre = places.select("id", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
+    centre = places.select(F.col("id").alias("cid"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
+
+    def surface(points: DataFrame, zoom: int) -> DataFrame:
+        at = points.join(centre, F.col("place") == F.col("cid"))
+        east = (F.col("lon") - F.col("c_lon")) * geo.M_PER_DEG_LON_EQUATOR * F.cos(F.radians("c_lat"))
+        return at.withColumn("elev_m", height(F.col("place"), east, (F.col("lat") - F.col("c_lat")) * geo.M_PER_DEG_LAT)).drop("cid", "c_lat", "c_lon")
 
-    def bowl(points: DataFrame, zoom: int) -> DataFrame:
-        at = points.join(centre.withColumnRenamed("id", "cid"), F.col("place") == F.col("cid"))
-        shrink = F.cos(F.radians("c_lat"))
-        east, north = (F.col("lon") - F.col("c_lon")) * geo.M_PER_DEG_LON_EQUATOR * shrink, (F.col("lat") - F.col("c_lat")) * geo.M_PER_DEG_LAT
-        return at.withColumn("elev_m", 2000 + 0.3 * F.hypot(east, north)).drop("cid", "c_lat", "c_lon")
+    return places, surface
+
+
+@query("terrain_plane", f"""SELECT c_custkey AS id, round(degrees(atan(sqrt({_north} * {_north} + {_east} * {_east}))), 2) AS slope_deg, round({_falls}, 1) AS aspect_deg, CAST(0 AS DOUBLE) AS roughness_m,
+  list_extract(['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'], 1 + CAST(floor({_falls} / 45 + 0.5) AS INTEGER) % 8) AS facing, {_falls} BETWEEN 90 AND 270 AS sunny FROM customer""")
+def _(spark, sf):
+    """A plane around each place that rises northwards and eastwards by the place's own measures."""
+    plane = lambda k, east, north: 1500 + (0.1 + k % 9 * 0.1) * north + (k % 5 * 0.1 - 0.2) * east
+    places, surface = _local_surface(spark, sf, plane)
+    out = terrain.fit_surface(places, surface)
+    return out.select("id", r(F.col("slope_deg").cast("double"), 2).alias("slope_deg"), r(F.col("aspect_deg").cast("double"), 1).alias("aspect_deg"), F.abs(r(F.col("roughness_m").cast("double"), 3)).alias("roughness_m"), vocab.cardinal(F.round("aspect_deg", 3)).alias("facing"), vocab.sunny(F.round("aspect_deg", 3)).alias("sunny"))
 
+
+_sinks = "CAST(-300.0 * (0.01 + c_custkey % 7 * 0.012) AS DOUBLE)"
+
+
+@query("tpi_bowl", f"SELECT c_custkey AS id, round({_sinks}, 2) AS tpi_m, CASE WHEN {_sinks} < -15 THEN 'hollow' WHEN {_sinks} < -5 THEN 'dip' ELSE 'even' END AS position FROM customer")
+def _(spark, sf):
+    """At the bottom of a bowl whose sides rise by the place's own measure."""
+    places, bowl = _local_surface(spark, sf, lambda k, east, north: 2000 + (0.01 + k % 7 * 0.012) * F.hypot(east, north))
     return terrain.tpi(places, bowl).select("id", r(F.col("tpi_m").cast("double"), 2).alias("tpi_m"), vocab.position(F.col("tpi_m")).alias("position"))
 
 
+@query("way_overhang", f"""WITH {pj.TRACES}, f AS (SELECT way_id, arg_min(lat, seq) AS a_lat, arg_min(lon, seq) AS a_lon FROM traces GROUP BY way_id)
+SELECT way_id, round(max({pj.sql_distance('a_lat', 'a_lon', 'lat', 'lon')}), 3) AS overhang_m FROM traces JOIN f USING (way_id) GROUP BY way_id""")
+def _(spark, sf):
+    return etl.overhang(pj.traces(spark, sf)).select("way_id", r("overhang_m", 3).alias("overhang_m"))
+
+
+@query("longest_way", f"WITH {pj.REFS} SELECT way_id, count(*) AS points FROM refs GROUP BY way_id QUALIFY row_number() OVER (ORDER BY count(*) DESC, way_id) = 1")
+def _(spark, sf):
+    return etl.longest(pj.way_refs(spark, sf))
+
+
+@query("ways_within", f"""WITH {pj.TRACES}, {pj.CLICKS}
+SELECT click_id AS id, count(DISTINCT way_id) AS ways FROM clicks c LEFT JOIN traces t ON t.lat BETWEEN c.lat - 0.002 AND c.lat + 0.002 AND t.lon BETWEEN c.lon - 0.003 AND c.lon + 0.003 AND {pj.sql_distance('c.lat', 'c.lon', 't.lat', 't.lon')} < 150 GROUP BY click_id""")
+def _(spark, sf):
+    return etl.ways_within(pj.clicks(spark, sf).withColumnRenamed("click_id", "id"), pj.traces(spark, sf), 150.0)
+
+
+@query("aligned_ways", f"""WITH {pj.REFS}, given AS (SELECT way_id, count(*) AS n, count(*) FILTER (seq < 5) AS points FROM refs GROUP BY way_id)
+SELECT way_id, n AS nodes FROM given WHERE n = points""")
+def _(spark, sf):
+    """Ways whose points beyond the fifth were lost do not pair up with their nodes."""
+    ways = pj.way_refs(spark, sf).groupBy("way_id").agg(F.collect_list("node_id").alias("nodes"), F.collect_list(F.when(F.col("seq") < 5, F.col("seq"))).alias("points"))
+    return etl.aligned(ways).select("way_id", long(F.size("nodes")).alias("nodes"))
+
+
 SMOOTH = lambda lo, hi, x: f"(least(greatest(({x} - {lo}.0) / {hi - lo}.0, 0), 1) * least(greatest(({x} - {lo}.0) / {hi - lo}.0, 0), 1) * (3 - 2 * least(greatest(({x} - {lo}.0) / {hi - lo}.0, 0), 1)))"
 
 
