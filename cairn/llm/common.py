@@ -84,18 +84,20 @@ def components(edges: DataFrame, store: Held, most_rounds: int = 60) -> DataFram
     """(a, b) bigint edges -> (node, comp): the smallest node reachable, for every node of an edge.
 
     Alternating large-star and small-star rounds: each is a groupBy with map-side minimum and a join on the node, so a hub
-    costs its edges once a round and chains shrink by a factor a round. Every round is written to the shared folder.
+    costs its edges once a round and chains shrink by a factor a round. Minima of up to 250,000 edges are broadcast. Every round is written to the shared folder.
     """
     now = store.put(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    files = now.count() // 200_000 + 1  # a round has no more edges than that; without this, every small round writes a file a partition
+    rows = now.count()  # a round has no more edges than that
+    files = rows // 200_000 + 1  # without this, every small round writes a file a partition
+    few = F.broadcast if rows <= BROADCAST_IDS // 4 else lambda minima: minima  # 16 bytes a row; then a hub is not joined by one task
     mark = None
     for _ in range(most_rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("u") == F.col("k")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(few(low), F.col("u") == F.col("k")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = store.put(large.coalesce(files), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        small = large.join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
+        small = large.join(few(low), F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
         small = store.put(small.coalesce(files), "small")
         store.drop(large)
         store.drop(now)
