@@ -30,7 +30,7 @@ POSITIONS = {
     "hollow": ("valley floor", "sheltered but cold air and damp"),
 }
 CARDINALS = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
-#: layer: (service name, format, lowest zoom, highest zoom, base map, label)
+#: Fixed values, too: layer: (service name, format, lowest zoom, highest zoom, base map, label)
 LAYERS = {
     "plan": ("GEOGRAPHICALGRIDSYSTEMS.PLANIGNV2", "image/png", 0, 19, True, "IGN topo map"),
     "contours": ("ELEVATION.CONTOUR.LINE", "image/png", 6, 18, False, "Contour lines"),
@@ -38,7 +38,7 @@ LAYERS = {
     "ortho": ("ORTHOIMAGERY.ORTHOPHOTOS", "image/jpeg", 0, 19, True, "Aerial imagery"),
 }
 ELEVATION_LAYER = ("ELEVATION.ELEVATIONGRIDCOVERAGE.HIGHRES", "WGS84G", "image/x-bil;bits=32")
-#: level: (label, hint, squared pixels between kept points, draws hiking ways only)
+#: Fixed values, too: level: (label, hint, squared pixels between kept points, draws hiking ways only)
 DETAILS = {
     "sparse": ("Paths only", "hiking ways only — faster, and it hides ways you can still route on", 36.0, True),
     "normal": ("Balanced", "the whole network, roads drawn coarse and dim", 9.0, False),
@@ -136,6 +136,18 @@ def layers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, *v) for k, v in LAYERS.items()], "layer string, wmts_name string, format string, min_zoom int, max_zoom int, is_base boolean, label string")
 
 
+def detail_label(detail: Column) -> Column:
+    return lookup({k: v[0] for k, v in DETAILS.items()}, detail)
+
+
+def detail_hint(detail: Column) -> Column:
+    return lookup({k: v[1] for k, v in DETAILS.items()}, detail)
+
+
+def model_label(model: Column) -> Column:
+    return lookup(MODEL_LABELS, model)
+
+
 def draws(detail: str, kind: Column) -> Column:
     return is_hiking(kind) if DETAILS[detail][3] else kind.isNotNull()
 

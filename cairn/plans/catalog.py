@@ -413,15 +413,34 @@ DIRECTED_REACH = f"""{DIRECTED}, reach(origin, node, cost) USING KEY (origin, no
   LEFT JOIN recurring.reach k ON k.origin = n.origin AND k.node = n.node WHERE k.cost IS NULL OR n.cost < k.cost)"""
 
 
-@query("isochrone_directed", f"WITH RECURSIVE {DIRECTED_REACH} SELECT origin, node, cost FROM reach")
-def _(spark, sf):
-    """Costs that differ each way, from places about a quarter along an edge, whose ends carry the way there; a budget that cuts."""
+_along = 0.6183
+_rest = lambda share: f"CAST(floor(len * {share!r}::DOUBLE * 720.0::DOUBLE) AS BIGINT)"
+
+
+def _directed(spark, sf):
+    """Priced edges and what an hour reaches from places about a quarter along an edge, whose ends carry the way there."""
     from cairn.functions.held import Held
 
     edges = Held(spark, "graph").put(graph.priced(_climbed(spark, sf), walk.WalkSettings(model="naismith")), "edges")
     ways = pj.table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'P' and o_totalprice > 400000").select(F.col("o_orderkey").alias("way_id"))
     places = edges.join(ways, "way_id", "left_semi").select(F.col("way_id").alias("snap_id"), "way_id", "from_seq", (F.col("len_m") * 0.2371303).alias("to_a_m"), (F.col("len_m") * (1 - 0.2371303)).alias("to_b_m"))
-    return graph.explore(edges, graph.sources(places, edges), HOUR).select("origin", "node", "cost")
+    return edges, graph.explore(edges, graph.sources(places, edges), HOUR)
+
+
+@query("isochrone_directed", f"WITH RECURSIVE {DIRECTED_REACH} SELECT origin, node, cost FROM reach")
+def _(spark, sf):
+    """Costs that differ each way, and a budget that cuts."""
+    return _directed(spark, sf)[1].select("origin", "node", "cost")
+
+
+@query("routes_within_budget", f"""WITH RECURSIVE {DIRECTED_REACH}, done AS (SELECT * FROM reach),
+ends AS (SELECT way_id, from_seq, a AS node, {_rest(_along)} AS rest, 0 AS side FROM flat UNION ALL SELECT way_id, from_seq, b, {_rest(1 - _along)}, 1 FROM flat)
+SELECT origin, way_id * 1000 + from_seq AS snap_id, min(cost + rest) AS cost_ms, arg_min(node, (cost + rest) * 2 + side) AS end_node FROM ends JOIN done USING (node) GROUP BY origin, way_id, from_seq HAVING min(cost + rest) <= {HOUR}""")
+def _(spark, sf):
+    """Routes to a place on every edge, by the cheaper of its ends, where they keep within the budget."""
+    edges, reach = _directed(spark, sf)
+    arrivals = edges.select((F.col("way_id") * 1000 + F.col("from_seq")).alias("snap_id"), "way_id", "from_seq", (F.col("len_m") * _along).alias("to_a_m"), (F.col("len_m") * (1 - _along)).alias("to_b_m"))
+    return graph.route_costs(reach, arrivals, edges, walk.WalkSettings(), HOUR).select("origin", "snap_id", "cost_ms", "end_node")
 
 
 # --- tracks ------------------------------------------------------------------------------------------------------------
@@ -511,6 +530,53 @@ def _(spark, sf):
     return _plan(spark, sf)[1].select("track_id", long("legs").alias("legs"), *[r(c, 6).alias(c) for c in ("next_food_kg", "next_water_l", "next_pack_kg")])
 
 
+@query("tracks_repriced", f"""WITH {pj.PROFILES}, {pj.sql_hysteresis('profiles', 'track_id')},
+s AS (SELECT track_id, max(dist_m) - min(dist_m) AS distance_m FROM profiles GROUP BY track_id), j AS (SELECT s.*, coalesce(f.up, 0) AS ascent FROM s LEFT JOIN hyst USING (track_id))
+SELECT track_id, round(({_base}) / 0.9, 6) AS time_h FROM j""")
+def _(spark, sf):
+    """The times of a heavier load, from the profile's base times."""
+    stats = track.stats(pj.profiles(spark, sf), ["track_id"], walk.WalkSettings())
+    return track.repriced(stats, walk.WalkSettings(load_kg=20)).select("track_id", r("time_h", 6).alias("time_h"))
+
+
+WAYPOINTS = f"""{pj.LEGS}, waypoints AS (SELECT track_id, wp AS seq, 45.9 + wp * 0.001 AS lat, 6.87 + (i % 10) * 0.001 AS lon FROM marks),
+drawn AS (SELECT *, CASE WHEN seq % 3 = 1 THEN [{{lat: lat - 0.001, lon: lon}}, {{lat: lat - 0.0004, lon: lon}}, {{lat: lat, lon: lon}}] END AS via,
+  CASE WHEN seq % 4 = 2 THEN [{{lat: lat, lon: lon - 0.003}}, {{lat: lat, lon: lon - 0.002}}, {{lat: lat, lon: lon - 0.001}}, {{lat: lat, lon: lon}}] END AS path FROM waypoints)"""
+
+
+def _waypoints(spark, sf):
+    """Waypoints with a drawn geometry before every third, and followed trails before every fourth."""
+    at = pj.legs(pj.profiles(spark, sf)).select("track_id", F.col("wp").alias("seq"), (45.9 + F.col("wp") * 0.001).alias("lat"), (6.87 + F.col("i") % 10 * 0.001).alias("lon"))
+    spot = lambda north, east: F.struct((F.col("lat") + north).alias("lat"), (F.col("lon") + east).alias("lon"))
+    waypoints = at.withColumn("via", F.when(F.col("seq") % 3 == 1, F.array(spot(-0.001, 0.0), spot(-0.0004, 0.0), spot(0.0, 0.0))))
+    follows = at.filter("seq % 4 = 2").select("track_id", "seq", F.array(*[spot(0.0, east) for east in (-0.003, -0.002, -0.001, 0.0)]).alias("path"))
+    return waypoints, follows
+
+
+@query("track_paths", f"""WITH {WAYPOINTS}, lines AS (SELECT track_id, seq, CASE WHEN seq = 0 THEN [{{lat: lat, lon: lon}}] WHEN via IS NOT NULL THEN via[2:] WHEN path IS NOT NULL THEN path[2:] ELSE [{{lat: lat, lon: lon}}] END AS line FROM drawn),
+flat AS (SELECT track_id, seq, unnest(line) AS p, unnest(range(len(line))) AS k FROM lines), placed AS (SELECT track_id, p, row_number() OVER (PARTITION BY track_id ORDER BY seq, k) AS n FROM flat)
+SELECT track_id, count(*) AS points, CAST(sum(n * CAST(round(p.lat / 1e-6) AS BIGINT)) AS BIGINT) AS lats, CAST(sum(n * CAST(round(p.lon / 1e-6) AS BIGINT)) AS BIGINT) AS lons FROM placed GROUP BY track_id""")
+def _(spark, sf):
+    n = F.col("seq") + 1
+    return track.paths(*_waypoints(spark, sf)).groupBy("track_id").agg(F.count(F.lit(1)).alias("points"), long(F.sum(n * geo.quantise(F.col("lat")))).alias("lats"), long(F.sum(n * geo.quantise(F.col("lon")))).alias("lons"))
+
+
+@query("followed_legs", f"WITH {WAYPOINTS} SELECT track_id, count(*) FILTER (seq > 0 AND (via IS NOT NULL OR path IS NOT NULL)) AS followed FROM drawn GROUP BY track_id")
+def _(spark, sf):
+    return track.followed_legs(*_waypoints(spark, sf))
+
+
+@query("track_edits", f"""WITH {WAYPOINTS}, kept AS (SELECT *, max(seq) OVER (PARTITION BY track_id) AS last FROM waypoints),
+edited AS (SELECT track_id, seq, lat FROM kept WHERE seq < last UNION ALL SELECT track_id, last, 46.5 FROM kept WHERE seq = last AND track_id % 2 = 0)
+SELECT track_id, count(*) AS waypoints, max(seq) AS last_seq, round(CAST(arg_max(lat, seq) AS DOUBLE), 6) AS last_lat FROM edited GROUP BY track_id""")
+def _(spark, sf):
+    """The last waypoint of each track is taken back; every second track goes on to another one."""
+    waypoints, _ = _waypoints(spark, sf)
+    new = waypoints.filter("track_id % 2 = 0").select("track_id", F.lit(46.5).alias("lat"), F.lit(6.9).alias("lon"), F.lit(None).cast(waypoints.schema["via"].dataType).alias("via")).distinct()
+    edited = track.push(track.pop(waypoints), new)
+    return edited.groupBy("track_id").agg(F.count(F.lit(1)).alias("waypoints"), long(F.max("seq")).alias("last_seq"), r(F.max_by("lat", "seq"), 6).alias("last_lat"))
+
+
 # --- terrain -----------------------------------------------------------------------------------------------------------
 
 BASE_LAT, BASE_LON = 45.92, 6.87
@@ -700,6 +766,68 @@ def _(spark, sf):
     return pj.table(spark, sf, "nation").select("n_nationkey", vocab.wmts_url(F.when(k % 2 == 0, "ortho").otherwise("elevation"), F.lit(14), 8500 + k, 5800 + k).alias("url"))
 
 
+_span = geo.geo_span(14)
+
+
+@query("geo_pixels", f"""WITH {pj.CLICKS}, spot AS (SELECT click_id, lat::DOUBLE AS lat, lon::DOUBLE AS lon, (lon::DOUBLE + 180.0) / {_span} AS x, (90.0 - lat::DOUBLE) / {_span} AS y FROM clicks)
+SELECT click_id, CAST(floor(x) AS INTEGER) AS col, CAST(floor(y) AS INTEGER) AS row, round((x - floor(x)) * 256, 4) AS px, round((y - floor(y)) * 256, 4) AS py,
+  round({geo.M_PER_DEG_LON_EQUATOR} * cos(radians(lat)) * {_span} / 256, 6) AS east_m, round({geo.M_PER_DEG_LAT} * {_span} / 256, 6) AS north_m, round(lat, 6) AS lat, round(lon, 6) AS lon FROM spot""")
+def _(spark, sf):
+    """The tile and pixel of each click, a pixel's size there, and the click's place through the Mercator square and back."""
+    lat, lon = F.col("lat"), F.col("lon")
+    named = dict(zip(("col", "row", "px", "py", "east_m", "north_m", "back_lat", "back_lon"), (*geo.geo_pixel(lat, lon, 14), *geo.geo_pixel_size(lat, 14), *geo.pm_latlon(*geo.pm_world(lat, lon))), strict=True))
+    at = pj.clicks(spark, sf).select("click_id", *[c.alias(name) for name, c in named.items()])
+    return at.select("click_id", "col", "row", r("px", 4).alias("px"), r("py", 4).alias("py"), r("east_m", 6).alias("east_m"), r("north_m", 6).alias("north_m"), r("back_lat", 6).alias("lat"), r("back_lon", 6).alias("lon"))
+
+
+@query("layers_at_zoom", """SELECT n_nationkey AS zoom, layer, wmts_name, format, is_base, label FROM nation JOIN (VALUES
+  ('plan', 'GEOGRAPHICALGRIDSYSTEMS.PLANIGNV2', 'image/png', 0, 19, true, 'IGN topo map'), ('contours', 'ELEVATION.CONTOUR.LINE', 'image/png', 6, 18, false, 'Contour lines'),
+  ('slopes', 'GEOGRAPHICALGRIDSYSTEMS.SLOPES.MOUNTAIN', 'image/png', 0, 17, false, 'Slope shading'), ('ortho', 'ORTHOIMAGERY.ORTHOPHOTOS', 'image/jpeg', 0, 19, true, 'Aerial imagery')
+) AS l(layer, wmts_name, format, low, high, is_base, label) ON n_nationkey BETWEEN low AND high""")
+def _(spark, sf):
+    levels = vocab.layers(spark).withColumn("zoom", F.explode(F.sequence("min_zoom", "max_zoom")))
+    zooms = pj.table(spark, sf, "nation").select(F.col("n_nationkey").alias("zoom"))
+    return zooms.join(F.broadcast(levels), "zoom").select("zoom", "layer", "wmts_name", "format", "is_base", "label")
+
+
+@query("kind_colours", f"""WITH {pj.WALKABLE}, rgb AS (SELECT way_id, CASE kind WHEN 1 THEN [180, 60, 200] WHEN 2 THEN [150, 110, 60] WHEN 3 THEN [80, 140, 220] ELSE [120, 120, 120] END AS c FROM walk)
+SELECT way_id, c[1] AS red, c[2] AS green, c[3] AS blue FROM rgb""")
+def _(spark, sf):
+    c = vocab.kind_colour(vocab.kind_name(F.col("kind")))
+    return etl.walkable(pj.tagged(spark, sf)).select("way_id", c[0].alias("red"), c[1].alias("green"), c[2].alias("blue"))
+
+
+def _shade(x: str, stops: list) -> str:
+    """The three channels of a ramp's colour at x, cut to integers."""
+    part = lambda i: " ".join(f"WHEN {x} < {hi}::DOUBLE THEN {a[i]}::DOUBLE + {b[i] - a[i]}::DOUBLE * ({x} - {lo}::DOUBLE) / {hi - lo}::DOUBLE" for (lo, a), (hi, b) in zip(stops, stops[1:], strict=False))
+    return "[" + ", ".join(f"CAST(trunc(CASE {part(i)} ELSE {stops[-1][1][i]} END) AS INTEGER)" for i in range(3)) + "]"
+
+
+_chance, _spent = "(p_size / 40.0::DOUBLE)", "(p_partkey % 90 * 1000 / 80000.0::DOUBLE)"
+
+
+@query("colour_ramps", f"""SELECT p_partkey, array_to_string({_shade(f"least({_chance}, 1)", [(0, (200, 62, 52)), (0.5, (214, 158, 46)), (1, (72, 184, 96))])}, ',') AS chance, array_to_string({_shade(f"least({_spent}, 1)", [(0, (60, 200, 90)), (1, (255, 160, 30))])}, ',') AS reach FROM part""")
+def _(spark, sf):
+    """Chances from none to beyond certain, and costs up to and beyond the budget."""
+    text = lambda c: F.concat_ws(",", c.cast("array<string>"))
+    chance, reach = vocab.chance_colour(F.col("p_size") / 40.0), vocab.reach_colour(F.col("p_partkey") % 90 * 1000, F.lit(80_000))
+    return pj.table(spark, sf, "part").select("p_partkey", text(chance).alias("chance"), text(reach).alias("reach"))
+
+
+_level, _class = "CASE p_partkey % 3 WHEN 0 THEN 'sparse' WHEN 1 THEN 'normal' ELSE 'full' END", "list_extract(['road', 'path', 'track', 'footway', 'steps', 'cycleway'], 1 + p_size % 6)"
+
+
+@query("detail_rules", f"""WITH k AS (SELECT p_partkey, {_level} AS detail, {_class} AS kind, p_partkey % 2 AS model FROM part)
+SELECT p_partkey, CASE detail WHEN 'sparse' THEN 'Paths only' WHEN 'normal' THEN 'Balanced' ELSE 'Sharp' END AS label, CASE detail WHEN 'sparse' THEN 'hiking ways only — faster, and it hides ways you can still route on' WHEN 'normal' THEN 'the whole network, roads drawn coarse and dim' ELSE 'the whole network at near-full geometry' END AS hint,
+  detail <> 'sparse' OR kind IN ('path', 'footway', 'steps') AS drawn, CAST(CASE detail WHEN 'sparse' THEN 36.0 WHEN 'normal' THEN 9.0 ELSE 2.25 END * CASE WHEN kind = 'road' AND detail <> 'full' THEN 8 ELSE 1 END AS DOUBLE) AS least_px2, CASE model WHEN 0 THEN 'Naismith' ELSE 'Tobler' END AS model FROM k""")
+def _(spark, sf):
+    k, kind = F.col("p_partkey"), vocab.kind_name(F.col("p_size") % 6)
+    detail = F.when(k % 3 == 0, "sparse").when(k % 3 == 1, "normal").otherwise("full")
+    by_level = lambda f: F.coalesce(*[F.when(detail == level, f(level, kind)) for level in vocab.DETAILS])
+    model = vocab.model_label(F.when(k % 2 == 0, "naismith").otherwise("tobler"))
+    return pj.table(spark, sf, "part").select("p_partkey", vocab.detail_label(detail).alias("label"), vocab.detail_hint(detail).alias("hint"), by_level(vocab.draws).alias("drawn"), by_level(vocab.min_segment_px2).alias("least_px2"), model.alias("model"))
+
+
 # --- extras that the reference does not have ---------------------------------------------------------------------------
 
 
