@@ -40,6 +40,7 @@ PART = 600_000  # shingles of the corpus for each part of the signatures' space
 RUN = 32  # sets that share a signature, up to which they are compared as pairs
 PAIR_BYTES = 2 << 20  # of sets that a Python worker gets at once to verify pairs
 CUT_BYTES = 8 << 20  # of sets in a cut of a clump
+NAME_BITS = 48  # of a set's first hash; different sets that share one are told apart by the second, and compared
 STEP = 0x9E3779B97F4A7C15  # odd; powers of it place bytes in a word's hash
 _MASK = (1 << 64) - 1
 
@@ -106,12 +107,24 @@ def shingle_sets(texts: list[str | None], chunk: int = 1 << 18) -> Iterator[np.n
 
 
 def identity(s: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit hashes of a set, as signed numbers."""
+    """Two hashes of a set, of 48 and 64 bits, as signed numbers; the first names the set in shuffles of signatures."""
     if not len(s):
         return 0, 0
     a = mix(mix(s, 5).sum(dtype=np.uint64, keepdims=True) + U(len(s)), 6)
     b = mix(np.bitwise_xor.reduce(mix(s, 7), keepdims=True) + U(len(s)), 8)
-    return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
+    return int(a[0] >> U(64 - NAME_BITS)), int(b.view(np.int64)[0])
+
+
+def pack(names: np.ndarray) -> bytes:
+    """First hashes in six bytes each."""
+    return names.astype("<i8").view(np.uint8).reshape(-1, 8)[:, : NAME_BITS // 8].tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    few = np.frombuffer(raw, np.uint8).reshape(-1, NAME_BITS // 8)
+    out = np.zeros((len(few), 8), np.uint8)
+    out[:, : NAME_BITS // 8] = few
+    return out.view("<i8").ravel().astype(np.int64)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -280,11 +293,11 @@ def frequent(counters: DataFrame, held: Held) -> bytes:
 
 
 def _packed(parts: int, heavy, most: int = 300_000):
-    """Texts -> a blob for each part of the signatures' space: 40 bits of each signature, and the first hash of its set.
+    """Texts -> a blob for each part of the signatures' space: 32 bits of each signature, and the first hash of its set.
 
     The part comes from a signature's high bits. Parts grow in number with the input, without end, so the chance that two
-    signatures of a part have equal bits stays the same, about one in 2**40 for each, and costs one comparison. A blob has
-    arrays of numbers instead of a row a signature, so a signature is shuffled in 13 bytes, whatever the number of parts.
+    signatures of a part have equal bits stays the same, about one in 2**32 for each, and costs one comparison. A blob has
+    arrays of numbers instead of a row a signature, so a signature is shuffled in 10 bytes, whatever the number of parts.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,21 +307,21 @@ def _packed(parts: int, heavy, most: int = 300_000):
             order = np.argsort(part, kind="stable")
             name = np.repeat(np.array(ids, np.int64), [len(x) for x in sigs])[order]
             sig, part = sig[order], part[order]
-            low, high = sig.astype(np.uint32), (sig >> U(32)).astype(np.uint8)
+            low = sig.astype(np.uint32)
             cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-            rows = [(int(part[lo]), name[lo:hi].tobytes(), low[lo:hi].tobytes(), high[lo:hi].tobytes()) for lo, hi in zip(cuts, cuts[1:], strict=False)]
-            return pd.DataFrame(rows, columns=["part", "ids", "low", "high"])
+            rows = [(int(part[lo]), pack(name[lo:hi]), low[lo:hi].tobytes()) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+            return pd.DataFrame(rows, columns=["part", "ids", "low"])
 
         frequent_ = np.frombuffer(heavy.value, np.uint8)
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         sigs, ids, total = [], [], 0
         for pdf in batches:
             for s in shingle_sets(list(pdf["text"])):
-                if not len(s) or (name := identity(s)[0]) in seen:
+                if not len(s) or (name := identity(s)) in seen:
                     continue  # a copy in the same batch of texts signs once
                 seen.add(name)
                 sigs.append(np.unique(signatures(s, frequent_)))
-                ids.append(name)
+                ids.append(name[0])
                 total += len(sigs[-1])
                 if total >= most:
                     yield flush()
@@ -328,10 +341,9 @@ def met(pdf: pd.DataFrame, run: int = RUN) -> pd.DataFrame:
 
     Of runs with more sets than `run`, each set with the run's first one (long), so rows grow with the signatures only.
     """
-    names, node = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]]), return_inverse=True)
+    names, node = np.unique(np.concatenate([unpack(x) for x in pdf["ids"]]), return_inverse=True)
     node = node.astype(np.int32)
-    key = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["low"]]).astype(np.uint64)
-    key |= np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["high"]]).astype(np.uint64) << U(32)
+    key = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["low"]])
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
     fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])  # several batches may have signed a set
@@ -481,7 +493,7 @@ def near_duplicates(docs: DataFrame, held: Held | None = None) -> DataFrame:
     words, the whole sequence as one; without words or text it is empty and links with nothing. Documents link when
     100 * intersection >= 75 * union; sets are compared by 64-bit shingle hashes.
 
-    Equal sets are one class, found by two 64-bit hashes of the set and named after its smallest doc_id, so copies cost
+    Equal sets are one class, found by two hashes of the set (48 and 64 bits) and named after its smallest doc_id, so copies cost
     nothing but their row. Sets that share a signature in runs of up to 32 are candidate pairs: each pair is verified and
     only then joins components, so sets that meet by chance cost one comparison and chain to nothing. Longer runs (many
     near copies, or texts made of common passages) are compared in blocks over an inverted index, without a row a pair. So
@@ -499,7 +511,7 @@ def near_duplicates(docs: DataFrame, held: Held | None = None) -> DataFrame:
     described = both.filter("block < 0").select("doc_id", "n", "h", "g")
     heavy = docs.sparkSession.sparkContext.broadcast(frequent(both.filter("block >= 0").select("block", "counts"), held))
     parts = max(4, (described.agg(F.sum("n")).first()[0] or 0) // PART)
-    blobs = docs.filter("doc_id is not null").mapInPandas(trimmed(_packed(parts, heavy)), "part int, ids binary, low binary, high binary")
+    blobs = docs.filter("doc_id is not null").mapInPandas(trimmed(_packed(parts, heavy)), "part int, ids binary, low binary")
     seen = blobs.repartition(parts, "part").groupBy("part").applyInPandas(_meeting(RUN), MET)
     seen = held.put(seen.groupBy("long", "ah", "bh").agg(F.min("c").alias("c")), "met")
     heavy.unpersist()

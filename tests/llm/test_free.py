@@ -467,3 +467,20 @@ def test_linked_sets_share_a_signature(seed):
             tried += 1
             assert len(np.intersect1d(jaccard.signatures(a, np.packbits(heavy)), jaccard.signatures(b, np.packbits(heavy))))
     assert tried > 100
+
+
+def test_a_signature_is_shuffled_in_ten_bytes(monkeypatch):
+    """Names of 48 bits come back as they were; different sets that share a first hash sign both."""
+    names = np.array([0, 1, (1 << 48) - 1, 0x123456789ABC], np.int64)
+    assert len(jaccard.pack(names)) == 24 and (jaccard.unpack(jaccard.pack(names)) == names).all()
+    rng = random.Random(3)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(60)) for _ in range(6)]
+    broadcast = type("B", (), {"value": np.zeros(1 << jaccard.SKETCH_BITS - 3, np.uint8).tobytes()})
+    first = jaccard.identity
+    packed = lambda: pd.concat(jaccard._packed(4, broadcast)([pd.DataFrame({"text": texts + texts})]))
+    blobs = packed()
+    count = blobs["low"].map(len).sum() // 4
+    assert sum(blobs[c].map(len).sum() for c in blobs.columns if c != "part") == 10 * count
+    assert all(0 <= first(s)[0] < 1 << 48 for s in jaccard.shingle_sets(texts))
+    monkeypatch.setattr(jaccard, "identity", lambda s: (7, first(s)[1]))
+    assert packed()["low"].map(len).sum() // 4 == count
