@@ -45,6 +45,44 @@ def test_bradley_terry_orders_by_preference():
     assert ((m.score(x) >= 0.3) == y).mean() > 0.97 and abs((m.score(x) < 0.3).mean() - (y == 0).mean()) < 0.02
 
 
+def test_bradley_terry_takes_all_pairs():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, quality.N_FEATURES)).astype(np.float32)
+    y = (x[:, 0] - x[:, 5] + rng.logistic(size=900) > 1).astype(int)
+    m = quality.fit(x, y, (y == 0).mean())
+    z = np.clip((x - x.astype(float).mean(0)) / x.astype(float).std(0), -8, 8)
+    raw = z @ m.weight
+    lose = 1 / (1 + np.exp(raw[y == 1][:, None] - raw[y == 0][None, :]))  # brute force: the gradient is 0 over every pair
+    g = (lose.sum(1) @ z[y == 1] - lose.sum(0) @ z[y == 0]) / lose.size - 1e-3 * m.weight
+    assert np.abs(g).max() < 1e-5 and np.abs(m.weight).max() > 0.3
+    assert abs(m.cut - np.sort(raw)[(y == 0).sum() - 1 :][:2].mean()) < 1e-9
+
+
+def test_ranking_learns_from_every_row(spark, tmp_path):
+    """More rows of a label than the 20,000 that were once drawn: means, weights and cut are those of all rows, in any layout."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(70_000, quality.N_FEATURES)).astype(np.float32)
+    y = (x[:, 1] + rng.logistic(size=len(x)) > 0.5).astype(np.int32)
+    pd.DataFrame({"x": list(x), "y": y}).to_parquet(tmp_path / "rows.parquet")
+    rows = spark.read.parquet(str(tmp_path / "rows.parquet")).withColumn("h", F.xxhash64("x"))
+    want = quality.fit(x, y, (y == 0).mean())
+    for some in (rows, rows.repartition(7)):
+        got = quality.learn(some)
+        assert np.allclose(got.mean, x.astype(float).mean(0), atol=1e-7) and np.allclose(got.std, x.astype(float).std(0), atol=1e-7)
+        assert got.cut == want.cut and (got.weight == want.weight).all()
+        assert (got.raw(x) < got.cut).sum() == (y == 0).sum()
+
+
+def test_ranks_of_raw_scores():
+    x = np.zeros((9, quality.N_FEATURES), np.float32)
+    x[:, 0] = [-2.5, 3, 0, -0.0, 1e-30, 3, -7, 0.1, 3]
+    one = quality.Ranker(np.zeros(quality.N_FEATURES), np.ones(quality.N_FEATURES), np.eye(quality.N_FEATURES)[0], 0.0, 1.0, 0.3)
+    for k in range(8):
+        for few in (0, 50_000):
+            got = quality._at_ranks(lambda part, _: quality._tally(*part(x, np.zeros(9, int))), one, [k, k + 1], few)
+            assert (got == np.sort(one.raw(x))[k : k + 2]).all()
+
+
 # --- licenses ---
 
 
